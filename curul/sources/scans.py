@@ -138,5 +138,5 @@ def seed_sources(spark: SparkSession, existing: DataFrame | None = None) -> Data
     ).withColumn("id", row_id("system"))
     if existing is None:
         return seed
-    fresh = seed.join(F.broadcast(existing.select("system")), "system", "left_anti")
+    fresh = seed.join(existing.select("system"), "system", "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
