@@ -7,7 +7,7 @@ per initiative and all counts come out of a single aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curul.functions.commissions import actionable_commission_text
@@ -106,42 +106,49 @@ def _several_systems():
     return F.size("systems") > 1
 
 
-CHECKS = {
-    "statusEventMismatches": F.col("latest_event_status").isNotNull()
-    & (F.col("latest_event_status") != F.col("normalized_status")),
-    "presentationEventGaps": F.col("presented_at").isNotNull()
-    & ~F.coalesce(F.col("has_presentation"), F.lit(False)),
-    "commissionNormalizationGaps": (F.coalesce(F.col("commission_count"), F.lit(0)) == 0)
-    & (F.col("actionable_commissions") != ""),
-    "sourceConflicts": _several_systems() & (F.col("statuses_differ") | F.col("titles_differ")),
-    "primarySourceAnomalies": F.col("link_count").isNotNull()
-    & ((F.col("primary_count") != 1) | (F.col("primary_system") != F.col("recommended_system"))),
-}
-_DIRECTION = compare_status("normalized_status", "latest_event_status")
-CHECKS["statusAheadOfEvents"] = CHECKS["statusEventMismatches"] & (_DIRECTION == "ahead")
-CHECKS["statusBehindEvents"] = CHECKS["statusEventMismatches"] & (_DIRECTION == "behind")
+def _direction() -> Column:
+    return compare_status("normalized_status", "latest_event_status")
+
+
+def conditions() -> dict[str, Column]:
+    """The checks on one initiative, as conditions on its profile."""
+    mismatch = F.col("latest_event_status").isNotNull() & (
+        F.col("latest_event_status") != F.col("normalized_status")
+    )
+    return {
+        "statusEventMismatches": mismatch,
+        "statusAheadOfEvents": mismatch & (_direction() == "ahead"),
+        "statusBehindEvents": mismatch & (_direction() == "behind"),
+        "presentationEventGaps": F.col("presented_at").isNotNull()
+        & ~F.coalesce(F.col("has_presentation"), F.lit(False)),
+        "commissionNormalizationGaps": (F.coalesce(F.col("commission_count"), F.lit(0)) == 0)
+        & (F.col("actionable_commissions") != ""),
+        "sourceConflicts": (F.size("systems") > 1) & (F.col("statuses_differ") | F.col("titles_differ")),
+        "primarySourceAnomalies": F.col("link_count").isNotNull()
+        & ((F.col("primary_count") != 1) | (F.col("primary_system") != F.col("recommended_system"))),
+    }
 
 
 def status_event_mismatches(profiled: DataFrame) -> DataFrame:
-    return profiled.filter(CHECKS["statusEventMismatches"]).select(
+    return profiled.filter(conditions()["statusEventMismatches"]).select(
         F.col("id").alias("initiative_id"),
         "canonical_title",
         F.col("normalized_status").alias("initiative_status"),
         "latest_event_type",
         "latest_event_date",
         "latest_event_status",
-        _DIRECTION.alias("direction"),
+        _direction().alias("direction"),
     )
 
 
 def presentation_gaps(profiled: DataFrame) -> DataFrame:
-    return profiled.filter(CHECKS["presentationEventGaps"]).select(
+    return profiled.filter(conditions()["presentationEventGaps"]).select(
         F.col("id").alias("initiative_id"), "canonical_title", "presented_at", "parser"
     )
 
 
 def commission_gaps(profiled: DataFrame) -> DataFrame:
-    return profiled.filter(CHECKS["commissionNormalizationGaps"]).select(
+    return profiled.filter(conditions()["commissionNormalizationGaps"]).select(
         F.col("id").alias("initiative_id"),
         "canonical_title",
         "parser",
@@ -150,7 +157,7 @@ def commission_gaps(profiled: DataFrame) -> DataFrame:
 
 
 def source_conflicts(profiled: DataFrame) -> DataFrame:
-    return profiled.filter(CHECKS["sourceConflicts"]).select(
+    return profiled.filter(conditions()["sourceConflicts"]).select(
         F.col("id").alias("initiative_id"),
         "canonical_title",
         F.array_join("systems", ",").alias("systems"),
@@ -181,7 +188,7 @@ def conflict_values(ranked: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 
 def primary_anomalies(profiled: DataFrame) -> DataFrame:
-    return profiled.filter(CHECKS["primarySourceAnomalies"]).select(
+    return profiled.filter(conditions()["primarySourceAnomalies"]).select(
         F.col("id").alias("initiative_id"),
         "canonical_title",
         "primary_count",
@@ -206,9 +213,10 @@ def coverage(profiled: DataFrame) -> DataFrame:
 
 def check_counts(profiled: DataFrame, initiatives: DataFrame, authors: DataFrame) -> DataFrame:
     """One row per check: (check, count)."""
-    one_row = profiled.agg(*[F.count_if(condition).alias(name) for name, condition in CHECKS.items()])
+    rules = conditions()
+    one_row = profiled.agg(*[F.count_if(condition).alias(name) for name, condition in rules.items()])
     pairs = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("check_key"), F.col(n).alias("count")) for n in CHECKS])
+        F.array(*[F.struct(F.lit(n).alias("check_key"), F.col(n).alias("count")) for n in rules])
     )
     per_initiative = one_row.select(pairs.alias("p")).select("p.*")
     total = lambda df, name: df.agg(F.count(F.lit(1)).alias("count")).select(

@@ -123,12 +123,14 @@ def ranked_variants(authors: DataFrame, relations: DataFrame) -> DataFrame:
     return members.join(_defeats(members), ["cluster_key", "quality", "initiative_count"])
 
 
-VARIANT_ORDER = (
-    F.col("defeats").asc(),
-    normalize_text("full_name").asc(),
-    F.col("full_name").asc(),
-    F.col("id").asc(),
-)
+def variant_order() -> list[Column]:
+    """Canonical author first, then the aliases."""
+    return [
+        F.col("defeats").asc(),
+        normalize_text("full_name").asc(),
+        F.col("full_name").asc(),
+        F.col("id").asc(),
+    ]
 
 
 def variant_confidence(share: Column, quality_gain: Column) -> Column:
@@ -145,7 +147,7 @@ def variant_suggestions(ranked: DataFrame) -> DataFrame:
     )
     pick = lambda position, column: F.max(F.when(F.col("_rank") == position, F.col(column)))
     leaders = (
-        best_per_key(ranked, ["cluster_key"], VARIANT_ORDER, k=2, rank="_rank")
+        best_per_key(ranked, ["cluster_key"], variant_order(), k=2, rank="_rank")
         .groupBy("cluster_key", "loose_key", "chamber")
         .agg(
             pick(1, "id").alias("canonical_author_id"),
@@ -237,16 +239,18 @@ def duplicate_candidates(
     return with_count(out, "id", commissions, "initiative_id", "commission_count")
 
 
-DUPLICATE_ORDER = (
-    F.col("source_priority").asc(),
-    F.greatest(status_rank("normalized_status") + 1, F.lit(0)).desc(),
-    F.col("link_count").desc(),
-    F.col("event_count").desc(),
-    F.col("author_count").desc(),
-    F.col("commission_count").desc(),
-    F.coalesce(F.col("parser"), F.lit("")).asc(),
-    F.col("id").asc(),
-)
+def duplicate_order() -> list[Column]:
+    """Canonical initiative first."""
+    return [
+        F.col("source_priority").asc(),
+        status_rank("normalized_status").desc(),
+        F.col("link_count").desc(),
+        F.col("event_count").desc(),
+        F.col("author_count").desc(),
+        F.col("commission_count").desc(),
+        F.coalesce(F.col("parser"), F.lit("")).asc(),
+        F.col("id").asc(),
+    ]
 
 
 def duplicate_plans(candidates: DataFrame) -> DataFrame:
@@ -258,7 +262,7 @@ def duplicate_plans(candidates: DataFrame) -> DataFrame:
     two = best_per_key(
         candidates.withColumn("_status", status_rank("normalized_status")),
         ["match_key"],
-        DUPLICATE_ORDER,
+        duplicate_order(),
         k=2,
         rank="_rank",
     )

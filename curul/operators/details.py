@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curul.operators.keyed import packed
@@ -70,7 +70,7 @@ def timeline(
 ) -> DataFrame:
     """Events with their nested source links, one row per event (and part of a huge list).
 
-    Sort by initiative_id, event_date, sequence_in_day (nulls last) and event_id to read it.
+    ``timeline_order`` is the order to read it in.
     """
     described = records.select("source_record_id", "source_id", "source_url", "record_type").join(
         sources.select("source_id", "system"), "source_id"
@@ -81,9 +81,11 @@ def timeline(
     return events.join(nested, "event_id", "left")
 
 
-TIMELINE_ORDER = (
-    F.col("initiative_id").asc(),
-    F.col("event_date").asc(),
-    F.col("sequence_in_day").asc_nulls_last(),
-    F.col("event_id").asc(),
-)
+def timeline_order() -> list[Column]:
+    """Reading order of a timeline."""
+    return [
+        F.col("initiative_id").asc(),
+        F.col("event_date").asc(),
+        F.col("sequence_in_day").asc_nulls_last(),
+        F.col("event_id").asc(),
+    ]

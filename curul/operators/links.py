@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curul.operators.keyed import best_per_key
@@ -28,17 +28,19 @@ def ranked_links(links: DataFrame, records: DataFrame, sources: DataFrame, inner
     ).withColumn("confidence", F.coalesce(F.col("confidence"), F.lit(0))).drop("priority")
 
 
-LINK_ORDER = (
-    F.col("source_priority").asc(),
-    F.col("confidence").desc(),
-    F.coalesce(F.col("system"), F.lit("")).asc(),
-    F.col("link_id").asc(),
-)
+def link_order() -> list[Column]:
+    """Best link first."""
+    return [
+        F.col("source_priority").asc(),
+        F.col("confidence").desc(),
+        F.coalesce(F.col("system"), F.lit("")).asc(),
+        F.col("link_id").asc(),
+    ]
 
 
 def primary_links(ranked: DataFrame) -> DataFrame:
     """One link per initiative: lowest priority, highest confidence, system, link id."""
-    return best_per_key(ranked, ["initiative_id"], LINK_ORDER)
+    return best_per_key(ranked, ["initiative_id"], link_order())
 
 
 def rebalanced_links(ranked: DataFrame) -> DataFrame:

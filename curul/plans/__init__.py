@@ -1,0 +1,6 @@
+"""Named queries: operators composed over the driver tables."""
+
+from curul.plans import audit_queries  # noqa: F401
+from curul.plans.registry import CHECKS, QUERIES
+
+__all__ = ["CHECKS", "QUERIES"]
