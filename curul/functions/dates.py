@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curul.functions.text import as_col, clean_text, extract, extract_all, normalize_text, rx, strip
+from curul.functions.text import as_col, clean_text, extract, extract_all, let, normalize_text, rx, strip
 
 # --- fixed values: month and weekday spellings ------------------------------------------------
 MONTHS = {
@@ -49,10 +49,18 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def _spelled(text: Column) -> Column:
     """``12 de marzo de 2025`` to ISO; null for a month nobody knows."""
-    parts = F.split(text, rx(" de "))
-    month = _lookup(MONTHS, normalize_text(F.get(parts, F.lit(1))))
-    day = F.lpad(F.get(parts, F.lit(0)), 2, "0")
-    return F.when(month.isNotNull(), F.concat_ws("-", F.get(parts, F.lit(2)), month, day))
+    piece = lambda parts, i: F.get(parts, F.lit(i))
+    # A null month makes the whole date null.
+    return let(
+        F.split(text, rx(" de ")),
+        lambda p: F.concat(
+            piece(p, 2),
+            F.lit("-"),
+            _lookup(MONTHS, normalize_text(piece(p, 1))),
+            F.lit("-"),
+            F.lpad(piece(p, 0), 2, "0"),
+        ),
+    )
 
 
 def iso_date(value: Column | str) -> Column:
@@ -61,15 +69,10 @@ def iso_date(value: Column | str) -> Column:
 
 def slash_date(value: Column | str) -> Column:
     """d/m/yyyy anywhere in the text."""
-    parts = F.split(extract(value, r"\b(\d{1,2}/\d{1,2}/\d{4})\b"), "/")
-    return F.when(
-        F.size(parts) == 3,
-        F.concat_ws(
-            "-",
-            F.get(parts, F.lit(2)),
-            F.lpad(F.get(parts, F.lit(1)), 2, "0"),
-            F.lpad(F.get(parts, F.lit(0)), 2, "0"),
-        ),
+    padded = lambda parts, i: F.lpad(F.get(parts, F.lit(i)), 2, "0")
+    return let(
+        F.split(extract(value, r"\b(\d{1,2}/\d{1,2}/\d{4})\b"), "/"),
+        lambda p: F.concat(F.get(p, F.lit(2)), F.lit("-"), padded(p, 1), F.lit("-"), padded(p, 0)),
     )
 
 
@@ -112,19 +115,21 @@ def block_date(value: Column | str) -> Column:
         rf"Presentad[ao] por [^.]*?\b({LONG_DATE})\b",
     )
     found = [extract(value, place) for place in places]
-    preferred = F.coalesce(*found)
     every = F.transform(extract_all(value, rf"\b({LONG_DATE})\b", 1), _spelled)
-    return F.when(preferred.isNotNull(), _spelled(preferred)).otherwise(
-        F.array_min(F.filter(every, lambda d: d.isNotNull()))
+    earliest = F.array_min(F.filter(every, lambda d: d.isNotNull()))
+    return let(
+        F.coalesce(*found), lambda place: F.when(place.isNotNull(), _spelled(place)).otherwise(earliest)
     )
 
 
 def status_date(value: Column | str) -> Column:
     """``DD-MON-YYYY`` with an upper-case Spanish month, inside a raw status."""
-    parts = F.split(extract(value, r"\b(\d{2}-[A-Z]{3}-\d{4})\b", ignore_case=False), "-")
-    month = _lookup(SHORT_MONTHS, F.get(parts, F.lit(1)))
-    return F.when(
-        month.isNotNull(), F.concat_ws("-", F.get(parts, F.lit(2)), month, F.get(parts, F.lit(0)))
+    piece = lambda parts, i: F.get(parts, F.lit(i))
+    return let(
+        F.split(extract(value, r"\b(\d{2}-[A-Z]{3}-\d{4})\b", ignore_case=False), "-"),
+        lambda p: F.concat(
+            piece(p, 2), F.lit("-"), _lookup(SHORT_MONTHS, piece(p, 1)), F.lit("-"), piece(p, 0)
+        ),
     )
 
 

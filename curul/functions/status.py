@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curul.functions.text import as_col, normalize_text
+from curul.functions.text import as_col, let, normalize_text
 from curul.schema import EVENT_STATUS, STATUS_RANK
 
 # --- fixed values: per source, the phrases that give an event type, first rule wins -----------
@@ -71,17 +71,21 @@ def event_status(event_type: Column | str) -> Column:
 
 def event_from_status(raw_status: Column | str, source: str) -> Column:
     """Event type that a source's raw status text speaks of."""
-    text = normalize_text(raw_status)
-    outcome = F.lit("other")
-    for event_type, alternatives in reversed(STATUS_RULES[source]):
-        holds = F.lit(False)
-        for phrases in alternatives:
-            every = F.lit(True)
-            for phrase in phrases:
-                every = every & F.contains(text, F.lit(phrase))
-            holds = holds | every
-        outcome = F.when(holds, event_type).otherwise(outcome)
-    return outcome
+
+
+    def by_rule(text: Column) -> Column:
+        outcome = F.lit("other")
+        for event_type, alternatives in reversed(STATUS_RULES[source]):
+            holds = F.lit(False)
+            for phrases in alternatives:
+                every = F.lit(True)
+                for phrase in phrases:
+                    every = every & F.contains(text, F.lit(phrase))
+                holds = holds | every
+            outcome = F.when(holds, event_type).otherwise(outcome)
+        return outcome
+
+    return let(normalize_text(raw_status), by_rule)
 
 
 def record_status(raw_status: Column | str, presented_at: Column | str, source: str) -> Column:

@@ -59,6 +59,15 @@ def rx(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iu)" if ignore_case else "") + "".join(out)
 
 
+def let(value: Column, body) -> Column:
+    """Bind a costly value once for an expression that uses it several times.
+
+    Expressions inside lambdas and conditional branches are evaluated anew at every use, so a
+    value needed there is passed through a one-element array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(value: Column | str, pattern: str, ignore_case: bool = True) -> Column:
     return as_col(value).rlike(rx(pattern, ignore_case))
 
@@ -187,7 +196,7 @@ def enumerated_list(value: Column | str) -> Column:
     text = collapse(value)
     items = extract_all(text, r"\d+\.-.*?(?=\d+\.-|$)")
     joined = F.array_join(F.transform(items, F.trim), " | ")
-    return F.when(F.size(items) > 0, joined).otherwise(blank_to_null(text))
+    return F.coalesce(blank_to_null(joined), blank_to_null(text))
 
 
 def first_non_blank(*values: Column | str) -> Column:
@@ -248,15 +257,17 @@ def drop_prefixes(value: Column | str, prefixes: list[str]) -> Column:
 
 def unique_by(values: Column | str, key=normalize_text, keep_blank_keys: bool = False) -> Column:
     """Order-preserving unique: the first member of each key stays."""
-    items = as_col(values)
-    keys = F.transform(items, key)
 
-    def is_first(_, position):
-        own = F.get(keys, position)
-        first = F.array_position(keys, own) == position + 1
-        return first if keep_blank_keys else first & (own != "")
 
-    return F.filter(items, is_first)
+    def firsts(items: Column, keys: Column) -> Column:
+        def is_first(_, position):
+            own = F.get(keys, position)
+            first = F.array_position(keys, own) == position + 1
+            return first if keep_blank_keys else first & (own != "")
+
+        return F.filter(items, is_first)
+
+    return let(as_col(values), lambda items: let(F.transform(items, key), lambda keys: firsts(items, keys)))
 
 
 def as_authors(names: Column | str, role: str = "primary") -> Column:
@@ -283,6 +294,13 @@ def trigrams(value: Column | str) -> Column:
 
 def trigram_similarity(left: Column, right: Column) -> Column:
     """Shared trigrams over all trigrams, for two trigram arrays."""
-    shared = F.size(F.array_intersect(left, right))
-    total = F.size(left) + F.size(right) - shared
-    return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
+
+
+    def ratio(a: Column, b: Column) -> Column:
+        shared = F.size(F.array_intersect(a, b))
+        return let(
+            F.struct(shared.alias("shared"), (F.size(a) + F.size(b) - shared).alias("total")),
+            lambda n: F.when(n["total"] > 0, n["shared"] / n["total"]).otherwise(F.lit(0.0)),
+        )
+
+    return let(left, lambda a: let(right, lambda b: ratio(a, b)))

@@ -10,6 +10,7 @@ from curul.functions.text import (
     blank_to_null,
     clean_text,
     extract,
+    let,
     matches,
     normalize_text,
     sha256,
@@ -61,28 +62,31 @@ def absolute_url(base: Column | str, href: Column | str) -> Column:
     """Resolve a link against its page, without the fragment."""
     page = F.regexp_replace(as_col(base), r"#.*\z", "")
     link = F.regexp_replace(F.trim(as_col(href)), r"#.*\z", "")
-    scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    complete = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]+\z"), F.concat(link, F.lit("/")))
+    return let(
+        link,
+        lambda to: F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.coalesce(complete, to)).otherwise(
+            let(page, lambda here: _resolved(here, to))
+        ),
+    )
+
+
+def _resolved(page: Column, link: Column) -> Column:
     origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)", 1)
     path = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*(/[^?]*)", 1)
+    bare = F.regexp_extract(page, r"^([^?]*)", 1)
     folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
     target = F.when(link.startswith("/"), link).otherwise(F.concat(folder, link))
     target_path = F.regexp_extract(target, r"^([^?]*)", 1)
-    target_query = F.regexp_extract(target, r"(\?.*)", 1)
     resolved = F.when(
-        target_path.rlike(r"/\.{1,2}(?:/|\z)"), F.concat(_without_dots(target_path), target_query)
+        target_path.rlike(r"/\.{1,2}(?:/|\z)"),
+        F.concat(_without_dots(target_path), F.regexp_extract(target, r"(\?.*)", 1)),
     ).otherwise(target)
     return (
-        F.when(
-            link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]+\z"), F.concat(link, F.lit("/"))
-        )
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
-        .when(origin == "", as_col(href))
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        F.when(origin == "", link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(page, r"^([^:]*:)", 1), link))
         .when(link == "", page)
-        .when(
-            link.startswith("?"),
-            F.concat(F.regexp_extract(page, r"^([^?]*)", 1), F.when(path == "", "/").otherwise(""), link),
-        )
+        .when(link.startswith("?"), F.concat(bare, F.when(path == "", "/").otherwise(""), link))
         .otherwise(F.concat(origin, resolved))
     )
 

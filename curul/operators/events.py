@@ -9,12 +9,14 @@ from curul.functions.commissions import chamber_commissions
 from curul.functions.dates import status_date, weekday_date
 from curul.functions.status import (
     EVENT_TITLES,
+    STATUS_RULES,
     chamber_wide,
     event_from_status,
     event_status,
+    mapped,
     status_rank,
 )
-from curul.functions.text import as_col, clean_optional, event_hash, normalize_text, split, strip, unique_by
+from curul.functions.text import as_col, clean_optional, event_hash, let, normalize_text, split, strip, unique_by
 
 # --- fixed values: openings of summary sentences and what they report -------------------------
 # (phrase, must the sentence start with it, event type, title key, status if not the type's own)
@@ -65,14 +67,16 @@ def event_array(source: str, run_ts: str) -> Column:
         referred = clean_optional("referred_to")
         events.append(F.when(referred.isNotNull(), _typed("turn_to_commission", fallback, referred)))
         status_day = F.coalesce(status_date(raw).cast("timestamp"), fallback)
-        title: Column = F.lit(EVENT_TITLES["status"])
+        titled = {}
     else:
         status_day = fallback
-        title = F.when(
-            event_from_status(raw, source) == "turn_to_commission", EVENT_TITLES["turn_to_commission"]
-        ).otherwise(EVENT_TITLES["status"])
-    kind = event_from_status(raw, source)
-    events.append(F.when(raw.isNotNull(), _event(kind, status_day, title, raw, event_status(kind))))
+        titled = {"turn_to_commission": EVENT_TITLES["turn_to_commission"]}
+    title = lambda kind: mapped(titled, kind, EVENT_TITLES["status"]) if titled else F.lit(EVENT_TITLES["status"])
+    from_raw = let(
+        event_from_status(raw, source),
+        lambda kind: _event(kind, status_day, title(kind), raw, event_status(kind)),
+    )
+    events.append(F.when(raw.isNotNull(), from_raw))
     return F.filter(F.array(*events), lambda e: e.isNotNull())
 
 
@@ -88,22 +92,26 @@ def _chamber_events(events: list[Column], presented: Column, fallback: Column, r
     )
 
     def from_sentence(sentence: Column) -> Column:
-        text = normalize_text(sentence)
         day = F.coalesce(weekday_date(sentence).cast("timestamp"), fallback)
-        found = F.lit(None)
-        for phrase, at_start, kind, title, status in reversed(SENTENCE_RULES):
-            holds = text.startswith(phrase) if at_start else F.contains(text, F.lit(phrase))
-            found = F.when(holds, _typed(kind, day, sentence, EVENT_TITLES[title], status)).otherwise(found)
-        return found
+
+        def by_rule(text: Column) -> Column:
+            found = F.lit(None)
+            for phrase, at_start, kind, title, status in reversed(SENTENCE_RULES):
+                holds = text.startswith(phrase) if at_start else F.contains(text, F.lit(phrase))
+                found = F.when(holds, _typed(kind, day, sentence, EVENT_TITLES[title], status)).otherwise(found)
+            return found
+
+        return let(normalize_text(sentence), by_rule)
 
     sentences = F.filter(
         F.transform(split(F.coalesce(F.col("summary"), F.lit("")), r"\.\s+"), strip), lambda s: s != ""
     )
-    kind = event_from_status(raw, "gaceta_diputados")
-    title = F.lit(EVENT_TITLES["status"])
-    for event_type in ("turn_to_commission", "dof_publication", "withdrawal", "rejection", "archival", "approved_origin", "approved_reviser"):
-        title = F.when(kind == event_type, EVENT_TITLES[event_type]).otherwise(title)
-    last = F.array(F.when(raw.isNotNull(), _event(kind, fallback, title, raw, event_status(kind))))
+    titled = {kind: EVENT_TITLES[kind] for kind, _ in STATUS_RULES["gaceta_diputados"]}
+    from_raw = let(
+        event_from_status(raw, "gaceta_diputados"),
+        lambda kind: _event(kind, fallback, mapped(titled, kind, EVENT_TITLES["status"]), raw, event_status(kind)),
+    )
+    last = F.array(F.when(raw.isNotNull(), from_raw))
     every = F.filter(
         F.concat(F.array(*events), F.transform(sentences, from_sentence), last), lambda e: e.isNotNull()
     )

@@ -38,10 +38,10 @@ def apply_artifact_plan(plan: DataFrame, relations: DataFrame, authors: DataFram
         "name_normalized", normalize_text("canonical_full_name")
     )
     wanted = rewrites.select(F.col("canonical_full_name").alias("full_name"), "name_normalized", "chamber")
-    grown = find_or_create(authors, wanted, ["name_normalized", "chamber"])
-    targets = best_per_key(
-        grown.filter(~is_artifact("full_name")), ["name_normalized", "chamber"], [F.col("id").asc()]
-    ).select(
+    people = authors.filter(~is_artifact("full_name") & (normalize_text("full_name") == F.col("name_normalized")))
+    known = find_or_create(people, wanted, ["name_normalized", "chamber"])
+    grown = authors.unionByName(known.join(people.select("id"), "id", "left_anti").select(*authors.columns))
+    targets = best_per_key(known, ["name_normalized", "chamber"], [F.col("id").asc()]).select(
         F.col("id").alias("new_author_id"),
         F.col("name_normalized").alias("_name"),
         F.col("chamber").alias("_chamber"),

@@ -86,7 +86,7 @@ SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day,
        concat('Ana ', w) AS first_name, concat('Benito ', w, ' Ruiz') AS second_name,
        concat('Carla Peña ', w) AS third_name, title
 FROM (SELECT o_orderkey, o_orderdate, concat('Que reforma la Ley de ', p_name) AS title,
-             concat('Q', translate(CAST(o_custkey AS STRING), '0123456789', 'bcdfghjkmn')) AS w
+             concat('Q', translate(CAST(o_custkey AS STRING), '0123456789', 'bdfghjkqvz')) AS w
       FROM orders JOIN part ON p_partkey = o_orderkey % 200) o""",
 }
 
