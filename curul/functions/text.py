@@ -240,6 +240,14 @@ def truncate(value: Column | str, size: int) -> Column:
     return F.substring(as_col(value), 1, size)
 
 
+def drop_first(value: Column | str, part: Column | str) -> Column:
+    """The text without the first occurrence of a part."""
+    text, piece = as_col(value), as_col(part)
+    at = F.instr(text, piece)
+    rest = F.concat(text.substr(F.lit(1), at - 1), text.substr(at + F.length(piece), F.length(text)))
+    return F.when(at > 0, rest).otherwise(text)
+
+
 def better_title(candidate: Column | str, current: Column | str) -> Column:
     size = F.length(strip(candidate))
     return F.coalesce((size > 0) & (size >= F.length(strip(current))), F.lit(False))

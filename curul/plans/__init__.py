@@ -1,6 +1,13 @@
 """Named queries: operators composed over the driver tables."""
 
-from curul.plans import audit_queries, author_queries, event_queries, search_queries, text_queries  # noqa: F401
+from curul.plans import (  # noqa: F401
+    audit_queries,
+    author_queries,
+    event_queries,
+    page_queries,
+    search_queries,
+    text_queries,
+)
 from curul.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

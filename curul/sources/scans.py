@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,22 +82,37 @@ def page_files(spark: SparkSession, folder: str, pattern: str = "*.html") -> Dat
     )
 
 
-def json_envelopes(spark: SparkSession, path: str, row: T.StructType = TRANSPARENCY_ROW) -> DataFrame:
+def _kept(rows: Column, keep: Callable[[Column], Column] | None) -> Column:
+    return rows if keep is None else F.filter(rows, keep)
+
+
+def json_envelopes(
+    spark: SparkSession,
+    path: str,
+    row: T.StructType = TRANSPARENCY_ROW,
+    keep: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Rows of ``{identificadores, data: [...]}`` files with the file's address and row number."""
     schema = T.StructType([T.StructField("data", T.ArrayType(row))])
     files = spark.read.schema(schema).option("multiLine", True).json(path)
     return files.select(
         F.col("_metadata.file_path").alias("source_json_url"),
-        F.posexplode("data").alias("row_index", "row"),
+        F.posexplode(_kept(F.col("data"), keep)).alias("row_index", "row"),
     )
 
 
-def envelope_rows(df: DataFrame, text: Column | str, url: Column | str, row: T.StructType = TRANSPARENCY_ROW) -> DataFrame:
+def envelope_rows(
+    df: DataFrame,
+    text: Column | str,
+    url: Column | str,
+    row: T.StructType = TRANSPARENCY_ROW,
+    keep: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """The same from a table that holds one envelope text per row."""
     schema = T.StructType([T.StructField("data", T.ArrayType(row))])
     return df.select(
         as_col(url).alias("source_json_url"),
-        F.posexplode(F.from_json(as_col(text), schema).getField("data")).alias("row_index", "row"),
+        F.posexplode(_kept(F.from_json(as_col(text), schema).getField("data"), keep)).alias("row_index", "row"),
     )
 
 
