@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # --- fixed values: how HTML closes elements, and what the rules look at ------------------------
@@ -32,11 +32,12 @@ CONTAINERS = frozenset("li article section div tr".split())
 MARKED = frozenset("titulo title encabezado objeto descripcion sinopsis resumen".split())
 # --- end of fixed values ----------------------------------------------------------------------
 
-ELEMENT = (
-    "struct<tag: string, text: string, href: string, onclick: string, marks: array<string>, "
-    "name: string, content: string, parents: string, follows: string, cells: array<string>, "
-    "data_cells: array<string>, links: array<string>, html: string, container: string>"
+FIELD_NAMES = (
+    "tag", "text", "href", "onclick", "marks", "name", "content", "parents", "follows", "cells", "data_cells",
+    "links", "html", "container",
 )
+LISTS = frozenset(("marks", "cells", "data_cells", "links"))
+ELEMENT = "struct<" + ", ".join(f"{n}: {'array<string>' if n in LISTS else 'string'}" for n in FIELD_NAMES) + ">"
 SPACE = re.compile("[\\s\\ufeff]+")
 
 
@@ -173,18 +174,33 @@ def _describe(source: str) -> tuple[list[dict], str]:
     return out, body
 
 
+TEXT_LIST = pa.list_(pa.string())
+FIELDS = {name: TEXT_LIST if name in LISTS else pa.string() for name in FIELD_NAMES}
+
+
 def with_elements(pages: DataFrame) -> DataFrame:
     """Pages with ``elements`` (in document order) and ``body`` text in place of the HTML."""
     kept = [f for f in pages.schema.fields if f.name != "html"]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            described = [_describe(html or "") for html in batch["html"]]
-            out = batch[names].copy()
-            out["elements"] = [d[0] for d in described]
-            out["body"] = [d[1] for d in described]
-            yield out
-
-    return pages.mapInPandas(read, f"{schema}, elements array<{ELEMENT}>, body string")
+            columns: dict[str, list] = {name: [] for name in FIELDS}
+            offsets, bodies = [0], []
+            for html in batch.column("html").to_pylist():
+                elements, body = _describe(html or "")
+                for element in elements:
+                    for name, values in columns.items():
+                        values.append(element[name])
+                offsets.append(offsets[-1] + len(elements))
+                bodies.append(body)
+            arrays = [pa.array(values, FIELDS[name]) for name, values in columns.items()]
+            structs = pa.StructArray.from_arrays(arrays, names=list(FIELDS))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(n) for n in names], lists, pa.array(bodies, pa.string())],
+                names=[*names, "elements", "body"],
+            )
+
+    return pages.mapInArrow(read, f"{schema}, elements array<{ELEMENT}>, body string")

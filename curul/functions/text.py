@@ -195,7 +195,7 @@ def enumerated_list(value: Column | str) -> Column:
     """``1.- a 2.- b`` becomes ``1.- a | 2.- b``; any other text is only collapsed."""
     text = collapse(value)
     items = extract_all(text, r"\d+\.-.*?(?=\d+\.-|$)")
-    joined = F.array_join(F.transform(items, F.trim), " | ")
+    joined = F.array_join(F.transform(items, lambda v: F.trim(v)), " | ")
     return F.coalesce(blank_to_null(joined), blank_to_null(text))
 
 

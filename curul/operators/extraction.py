@@ -36,7 +36,7 @@ from curul.functions.text import (
     split,
     truncate,
 )
-from curul.operators.keyed import best_per_key
+from curul.operators.keyed import best_per_key, bound
 
 # --- fixed values: field labels, phrases and parser names of the sources ----------------------
 FIELD_LABELS = (
@@ -127,10 +127,13 @@ def _column_or_null(df: DataFrame, name: str) -> Column:
 
 
 def _field_of(label: Column, table) -> Column:
-    field = F.lit(None).cast("string")
-    for name, pattern in reversed(table):
-        field = F.when(matches(label, pattern), name).otherwise(field)
-    return field
+    def by_pattern(text: Column) -> Column:
+        field = F.lit(None).cast("string")
+        for name, pattern in reversed(table):
+            field = F.when(matches(text, pattern), name).otherwise(field)
+        return field
+
+    return let(normalize_text(label), by_pattern)
 
 
 def page_fields(detail: bool = False) -> Column:
@@ -156,7 +159,7 @@ def page_fields(detail: bool = False) -> Column:
             ),
         )
     fields = F.transform(
-        pairs, lambda p: F.struct(_field_of(normalize_text(p["label"]), table).alias("field"), p["value"].alias("value"))
+        pairs, lambda p: F.struct(_field_of(p["label"], table).alias("field"), p["value"].alias("value"))
     )
     return F.filter(fields, lambda f: f["field"].isNotNull() & (f["value"] != ""))
 
@@ -172,11 +175,11 @@ def _field(name: str) -> Column:
 
 def generic_records(pages: DataFrame) -> DataFrame:
     """One record per page with a title, from its fields, headings and meta description."""
-    df = elements_of(pages).withColumn("fields", page_fields())
+    df = bound(elements_of(pages), fields=page_fields())
     title = first_non_blank(_field("title"), _first_text(_tagged("h1")), _first_text(_marked("titulo", "title")))
-    df = df.withColumn("title", title).filter(F.col("title") != "")
     day = dates.any_date(F.coalesce(_field("presentation_date"), F.lit("")))
-    df = df.withColumn("title_normalized", normalize_text("title")).withColumn("presentation_date", day)
+    df = bound(df, title=title, presentation_date=day).filter(F.col("title") != "")
+    df = df.withColumn("title_normalized", normalize_text("title"))
     df = df.withColumn("dedupe_hash", dedupe_hash("title_normalized", "presentation_date"))
     description = first_non_blank(
         _field("description"), _meta_description(), _first_text(_marked("resumen", "descripcion", "sinopsis"))
@@ -206,7 +209,7 @@ def longest_block() -> Column:
 
 def detail_records(pages: DataFrame) -> DataFrame:
     """Details of popup pages; a page with neither title nor description gives none."""
-    df = elements_of(pages).withColumn("fields", page_fields(detail=True))
+    df = bound(elements_of(pages), fields=page_fields(detail=True))
     inside = lambda parent: F.filter("elements", lambda e: (e["tag"] == "b") & F.contains(e["parents"], F.lit(f" {parent} ")))
     headings = F.filter(
         "elements",
@@ -219,10 +222,9 @@ def detail_records(pages: DataFrame) -> DataFrame:
     described = F.array_join(
         F.transform(_marked("objeto", "descripcion", "sinopsis"), lambda e: e["text"]), ""
     )
-    df = df.withColumn("raw_title", raw).withColumn(
-        "description", blank_to_null(first_non_blank(_field("description"), described, _meta_description(), longest_block()))
-    )
-    df = df.withColumn("title", F.when(~matches("raw_title", POPUP_TITLES), blank_to_null("raw_title")))
+    description = first_non_blank(_field("description"), described, _meta_description(), longest_block())
+    df = bound(df, raw_title=raw, description=blank_to_null(description))
+    df = bound(df, title=F.when(~matches("raw_title", POPUP_TITLES), blank_to_null("raw_title")))
     df = df.filter(F.col("title").isNotNull() | F.col("description").isNotNull())
     return df.select(
         F.col("url").alias("source_url"),
@@ -275,23 +277,21 @@ def detail_address(row_links: Column, row_html: Column, page_url: Column) -> Col
 
 def results_records(pages: DataFrame) -> DataFrame:
     """Records of the rows of results tables, the first of each key per page."""
-    df = elements_of(pages).withColumn("url", F.col("url"))
+    df = elements_of(pages)
     rows = df.select(
         "url", _column_or_null(df, "parent_url").alias("parent_url"), F.posexplode(_tagged("tr")).alias("row", "e")
     ).select("url", "parent_url", "row", "e.links", "e.html", F.filter("e.data_cells", lambda c: c != "").alias("cells"))
-    rows = rows.filter(F.size("cells") >= 6).withColumn("title", _find(F.col("cells"), RESULT_TITLES))
-    rows = rows.filter(
-        F.col("title").isNotNull() & ~matches(F.lower(F.array_join("cells", " ")), RESULT_HEADINGS)
-    )
     cells = F.col("cells")
+    heading = matches(F.lower(F.array_join("cells", " ")), RESULT_HEADINGS)
+    rows = bound(rows.filter(F.size("cells") >= 6), title=_find(cells, RESULT_TITLES), heading=heading)
+    rows = rows.filter(F.col("title").isNotNull() & ~F.col("heading"))
     title_at = (F.array_position(cells, F.col("title")) - 1).cast("int")
     date_at = (F.array_position(F.transform(cells, lambda c: dates.slash_date(c).isNotNull()), True) - 1).cast("int")
-    rows = rows.withColumn("title_at", title_at).withColumn("date_at", date_at)
+    rows = bound(rows, title_at=title_at, date_at=date_at)
     kind = F.when(F.col("title_at") > 0, F.get(cells, F.col("title_at") - 1)).otherwise(_find(cells, RESULT_TYPES))
     author = F.get(cells, F.when(F.col("date_at") > 0, F.col("date_at") + 1).otherwise(F.col("title_at") + 1))
-    rows = rows.withColumn(
-        "presentation_date", F.when(F.col("date_at") >= 0, dates.slash_date(F.get(cells, F.greatest("date_at", F.lit(0)))))
-    ).withColumn("title_normalized", normalize_text("title"))
+    day = F.when(F.col("date_at") >= 0, dates.slash_date(F.get(cells, F.greatest("date_at", F.lit(0)))))
+    rows = bound(rows, presentation_date=day, title_normalized=normalize_text("title"))
     rows = rows.withColumn("dedupe_hash", dedupe_hash("title_normalized", "presentation_date"))
     out = rows.select(
         "row",
@@ -351,7 +351,7 @@ def chamber_blocks() -> Column:
     """Texts of list items and paragraphs that open an initiative; else cut from the body."""
     long = lambda b: F.length(b) > 40
     items = F.filter(F.transform(_tagged("li", "p"), lambda e: e["text"]), lambda b: matches(b, r"^Que\s+") & long(b))
-    cut = F.filter(F.transform(extract_all("body", r"Que\s+.*?(?=Que\s+|$)", ignore_case=False), F.trim), long)
+    cut = F.filter(F.transform(extract_all("body", r"Que\s+.*?(?=Que\s+|$)", ignore_case=False), lambda v: F.trim(v)), long)
     return let(items, lambda found: F.when(F.size(found) > 0, found).otherwise(cut))
 
 
@@ -360,7 +360,7 @@ def block_rows(pages: DataFrame, *keep: str) -> DataFrame:
 
 
 def _first_sentence(text: Column | str, pattern: str) -> Column:
-    sentences = F.transform(F.split(as_col(text), r"\."), F.trim)
+    sentences = F.transform(F.split(as_col(text), r"\."), lambda v: F.trim(v))
     return F.get(F.filter(sentences, lambda s: matches(s, pattern)), F.lit(0))
 
 
@@ -369,15 +369,15 @@ def chamber_list_records(pages: DataFrame) -> DataFrame:
     df = elements_of(pages)
     rows = block_rows(df.withColumn("parent_url", _column_or_null(df, "parent_url")), "url", "parent_url")
     block = F.col("block")
-    rows = (
-        rows.withColumn("title", clean_optional(extract(block, rf"^(Que\s+.*?)(?={BLOCK_END})")))
-        .filter(F.col("title").isNotNull())
-        .withColumn("title_normalized", normalize_text("title"))
-        .withColumn("presentation_date", dates.block_date(block))
-        .withColumn("authors", names.chamber_block_signers(block))
-        .withColumn("legislature", urls.chamber_legislature("url"))
-        .withColumn("issue", urls.gazette_issue(block))
-        .withColumn("entry", urls.entry_id(block))
+    rows = bound(rows, title=clean_optional(extract(block, rf"^(Que\s+.*?)(?={BLOCK_END})")))
+    rows = bound(
+        rows.filter(F.col("title").isNotNull()),
+        title_normalized=normalize_text("title"),
+        presentation_date=dates.block_date(block),
+        authors=names.chamber_block_signers(block),
+        legislature=urls.chamber_legislature("url"),
+        issue=urls.gazette_issue(block),
+        entry=urls.entry_id(block),
     )
     key = urls.chamber_key("legislature", "issue", "entry", "title_normalized", "presentation_date", F.col("authors"))
     rest = blank_to_null(F.trim(drop_first(block, "title")))
@@ -416,7 +416,7 @@ def chamber_page_records(pages: DataFrame) -> DataFrame:
         F.array(*[_first_text(_tagged(t)) for t in ("h1", "h2", "b", "title")]),
         lambda t: t.isNotNull() & matches(t, CHAMBER_TITLES),
     )
-    df = df.withColumn("title", F.get(headings, F.lit(0))).filter(F.col("title").isNotNull())
+    df = bound(df, title=F.get(headings, F.lit(0))).filter(F.col("title").isNotNull())
     paragraphs = F.filter(
         F.transform(_tagged("p"), lambda e: e["text"]), lambda t: (F.length(t) > 80) & (t != F.col("title"))
     )
@@ -449,7 +449,7 @@ def senate_entries(body: Column | str) -> Column:
     """Entries of the initiatives section, each from its signers to the next ones."""
     section = collapse(F.coalesce(extract(body, SENATE_SECTION), F.lit("")))
     found = extract_all(section, rf"(?s)(?:{SENATE_SIGNERS}).*?(?=(?:{SENATE_SIGNERS})\s|$)")
-    return F.filter(F.transform(found, F.trim), lambda e: matches(e, SENATE_ENTRIES))
+    return F.filter(F.transform(found, lambda v: F.trim(v)), lambda e: matches(e, SENATE_ENTRIES))
 
 
 def _entry_title(entry: Column) -> Column:
@@ -463,43 +463,58 @@ def _senate_status(text: Column | str) -> Column:
     return F.coalesce(_first_sentence(text, "^Se turnó"), _first_sentence(text, "^La Presidencia informó"))
 
 
-def senate_records(pages: DataFrame) -> DataFrame:
-    """Records of senate documents: one per entry, or one for a document without entries."""
-    df = elements_of(pages)
-    given = _column_or_null(df, "session_date")
-    df = df.select(
-        "url",
-        "elements",
-        "body",
-        senate_entries("body").alias("entries"),
-        F.coalesce(given, dates.long_date("body"), dates.url_date("url")).alias("presentation_date"),
-        urls.senate_issue("body").alias("issue"),
-        urls.senate_document_id("url").alias("document_id"),
-    )
-    entries = df.filter(F.size("entries") > 0).select(
-        "url", "presentation_date", "issue", "document_id", F.posexplode("entries").alias("entry_index", "text")
-    )
-    from_entries = entries.select(
-        "*", _entry_title(F.col("text")).alias("title"), names.entry_signers("text").alias("authors"),
-        F.col("text").alias("description"), truncate("text", 2000).alias("block_text"),
-    )
+def _standalone_title() -> Column:
+    """Title of a document without entries: a heading, else the opening sentence of the body."""
     headings = F.filter(
         F.transform(_tagged("h1", "h2", "h3", "strong", "b"), lambda e: e["text"]), lambda t: matches(t, SENATE_HEADING)
     )
-    standalone = F.coalesce(
+    return F.coalesce(
         F.get(headings, F.lit(0)),
         clean_optional(extract("body", rf"(Que\s+.*?)(?={SENATE_END})")),
         clean_optional(extract("body", rf"(Oficio con el que remite.*?)(?={SENATE_END})")),
     )
-    alone = df.filter(F.size("entries") == 0).select(
-        "url", "presentation_date", "issue", "document_id", F.lit(0).alias("entry_index"), F.col("body").alias("text"),
-        standalone.alias("title"), names.document_signers("body").alias("authors"),
+
+
+def senate_records(pages: DataFrame) -> DataFrame:
+    """Records of senate documents: one per entry, or one for a document without entries.
+
+    Both forms leave a page as one array, so every page is read once.
+    """
+    df = elements_of(pages)
+    record = lambda text, title, authors, description, block: F.struct(
+        text.alias("text"),
+        title.alias("title"),
+        authors.alias("authors"),
+        description.alias("description"),
+        block.alias("block_text"),
+    )
+    from_entry = lambda e: record(e, _entry_title(e), names.entry_signers(e), e, truncate(e, 2000))
+    no_text = F.lit(None).cast("string")
+    alone = let(
+        _standalone_title(),
+        lambda title: F.array(
+            record(
+                F.col("body"),
+                title,
+                names.document_signers("body"),
+                blank_to_null(truncate(collapse(drop_first("body", title)), 3000)),
+                no_text,
+            )
+        ),
     )
-    rest = collapse(drop_first("text", "title"))
-    alone = alone.filter(F.col("title").isNotNull()).withColumn(
-        "description", blank_to_null(truncate(rest, 3000))
-    ).withColumn("block_text", F.lit(None).cast("string"))
-    rows = from_entries.filter(F.col("title").isNotNull() & (F.col("title") != "")).unionByName(alone)
+    rows = df.select(
+        "url",
+        F.coalesce(_column_or_null(df, "session_date"), dates.long_date("body"), dates.url_date("url")).alias("presentation_date"),
+        urls.senate_issue("body").alias("issue"),
+        urls.senate_document_id("url").alias("document_id"),
+        F.posexplode(
+            let(
+                senate_entries("body"),
+                lambda found: F.when(F.size(found) > 0, F.transform(found, from_entry)).otherwise(alone),
+            )
+        ).alias("entry_index", "r"),
+    ).select("url", "presentation_date", "issue", "document_id", "entry_index", "r.*")
+    rows = rows.filter(F.col("title").isNotNull() & (F.col("title") != ""))
     rows = rows.withColumn("title_normalized", normalize_text("title"))
     key = urls.senate_key("document_id", "title_normalized", "presentation_date", "entry_index")
     return rows.withColumn("source_record_key", key).select(

@@ -14,6 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bound(df: DataFrame, **values: Column) -> DataFrame:
+    """Columns that are evaluated once, whatever filters and projections follow.
+
+    A plain projection may be merged into its consumers, which then evaluate a costly expression
+    at every use; a generator with one row is not.
+    """
+    kept = [c for c in df.columns if c not in values]
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    once = df.select(*kept, F.explode(F.array(row)).alias("_row"))
+    return once.select(*kept, *[F.col(f"_row.{name}").alias(name) for name in values])
+
+
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key; ``rank`` keeps the position under that name."""
     position = rank or "_position"
