@@ -287,17 +287,20 @@ def as_authors(names: Column | str, role: str = "primary") -> Column:
 
 def tokens(value: Column | str) -> Column:
     """Search terms: maximal runs of letters and digits of the comparison form."""
-    return F.filter(F.split(normalize_text(value), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    plain = F.lower(strip_diacritics(value))
+    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def trigrams(value: Column | str) -> Column:
-    """Distinct three-letter groups of each word padded as two blanks + word + one blank."""
-    padded = F.transform(tokens(value), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    grams = F.transform(
-        padded,
-        lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: p.substr(i, F.lit(3))),
-    )
-    return F.array_distinct(F.flatten(grams))
+    """Distinct three-letter groups of each word padded as two blanks + word + one blank.
+
+    The padded words are set end to end and read by one pattern that skips the groups which
+    belong to two words.
+    """
+    plain = F.lower(strip_diacritics(value))
+    padded = F.concat(F.lit("  "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "   ")), F.lit(" "))
+    groups = r"(?=(  [^ ]| [^ ][^ ]| [^ ] |[^ ]{3}|[^ ]{2} ))"
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(groups), F.lit(1)))
 
 
 def trigram_similarity(left: Column, right: Column) -> Column:

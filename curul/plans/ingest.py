@@ -103,7 +103,8 @@ def identified(records: DataFrame, initiatives: DataFrame, source: str) -> DataF
 def load(records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """The next snapshot of every table, and the run's counters.
 
-    The matched records feed every table, so they are kept on durable storage once.
+    The matched records feed every table and the derived events four of them, so both are kept
+    on durable storage once.
     """
     out = dict(tables)
     source_id = tables["sources"].filter(F.col("system") == source).select("id").scalar()
@@ -114,7 +115,7 @@ def load(records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts:
             "source_record_id", row_id("source_id", "record_type", "source_record_key", "dedupe_hash")
         )
     )
-    made = _events(rows, source, run_ts)
+    made = durable(_events(rows, source, run_ts))
     out["initiatives"] = _initiatives(rows, made, tables["initiatives"], source)
     out["source_records"] = upsert(
         tables["source_records"],
