@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from curul.functions.text import word_xml_text
 from curul.operators import extraction
 from curul.plans import staged
 from curul.plans.registry import query, sql_norm
+from curul.session import shared_folder
 from curul.sources import scans
 from curul.sources.scans import table
 from curul.sources.staging import stage
@@ -328,8 +329,7 @@ def transparency_records(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT DISTINCT url, sha256(html) AS content_hash FROM pages")
 def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages table read as a stream, each (address, content) once."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    work = tempfile.mkdtemp(prefix="spark-curul-", dir="/tmp") if base is None else f"{base}/stream-{spark.sparkContext.applicationId}-{id(spark)}"
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, folder, "pages").schema
     stream = landed_pages(spark, folder, schema, "pages.parquet").withColumn(
         "fetched_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))

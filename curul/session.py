@@ -42,20 +42,23 @@ def local_session(cores: str = "8", app: str = "curul", **extra: str) -> SparkSe
     return tune(spark)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage (never executor-local blocks).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. A folder of our own is
-    chosen only for a local master with none set; on a cluster a missing setting is an error,
-    because a machine-local folder would not survive the loss of an executor.
+    A folder of our own is chosen only for a local master with none set; on a cluster a missing
+    setting is an error, because a machine-local folder would not survive the loss of an executor.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        folder = tempfile.mkdtemp(prefix="spark-curul-", dir="/tmp")
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable storage (never executor-local blocks)."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-            folder = tempfile.mkdtemp(prefix="spark-curul-", dir="/tmp")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
