@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curul.functions.text import word_xml_text
 from curul.operators import extraction
-from curul.plans import staged
+from curul.plans import ingest, staged
 from curul.plans.registry import query, sql_norm
 from curul.session import shared_folder
 from curul.sources import scans
@@ -344,3 +344,59 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
     run.awaitTermination()
     return spark.read.parquet(f"{work}/pages")
+
+
+# ---- discovery and loading -------------------------------------------------------------------
+
+
+@query(
+    """SELECT DISTINCT concat('resultados::1:', greatest(1, id * 3 + o), ':1') AS page_key,
+ concat('https://sil.gobernacion.gob.mx/resultadosNumeraliaIniciativas.php?Serial=1&Reg=', greatest(1, id * 3 + o), '&pagina=1&Paginas=15') AS url
+ FROM st_record_texts, (VALUES (0), (1), (2), (3), (4)) w(o)"""
+)
+def seed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Seeds widened by the next record numbers, one address per results page."""
+    base = F.lit("https://sil.gobernacion.gob.mx/resultadosNumeraliaIniciativas.php?Serial=1&Reg=")
+    seeds = stage(spark, folder, "st_record_texts").select(F.concat(base, (F.col("id") * 3).cast("string")).alias("url"))
+    return extraction.seed_pages(seeds).select("page_key", "url")
+
+
+@query(
+    """SELECT concat('http://www.senado.gob.mx/66/gaceta_del_senado/documento/', id) AS url, concat(title, ' ', id, '.') AS title_hint,
+ CAST(day AS VARCHAR) AS session_date FROM st_record_texts"""
+)
+def session_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents linked from session pages, one session per order."""
+    c, lit, text = F.concat, F.lit, F.col("id").cast("string")
+    html = c(
+        lit("<html><body><h1>Sesión del "), "long_day", lit(' </h1><ul><li><a href="/66/gaceta_del_senado/documento/'), text,
+        lit('">Ver</a> '), "title", lit(" "), text, lit('. Se turnó a Salud</li><li><a href="/66/otra/1">Que nada</a></li></ul></body></html>'),
+    )
+    sessions = stage(spark, folder, "st_record_texts").select(
+        c(lit("http://www.senado.gob.mx/66/gaceta_del_senado/s/"), text).alias("url"), html.alias("html")
+    )
+    return extraction.session_documents(sessions).select("url", "title_hint", "session_date")
+
+
+@query(
+    f"""WITH {GAZETTE_SQL} SELECT concat('diputados:66:7-', id, ':', id) AS source_record_key, concat(full_title, '.') AS canonical_title,
+ 'in_commissions' AS normalized_status, day AS presented_at, 'diputados' AS originating_chamber, CAST(1 AS BIGINT) AS links, CAST(1 AS BIGINT) AS primaries,
+ CAST(3 AS BIGINT) AS events FROM items"""
+)
+def loaded_gazette(spark: SparkSession, folder: str) -> DataFrame:
+    """Gazette pages parsed and loaded into empty tables: initiatives with their links and events."""
+    source = "gaceta_diputados"
+    tables = ingest.empty_tables(spark)
+    tables["sources"] = scans.seed_sources(spark).select("id", "system", "name", "base_url", "priority")
+    out, _ = ingest.load(ingest.parse(gazette_pages(spark, folder), source), tables, source, staged.RUN_TS)
+    links = out["initiative_source_links"].groupBy(F.col("initiative_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("links"), F.count_if("is_primary").alias("primaries")
+    )
+    events = out["legislative_events"].groupBy(F.col("initiative_id").alias("id")).agg(F.count(F.lit(1)).alias("events"))
+    return (
+        out["initiatives"].join(links, "id").join(events, "id")
+        .select(
+            F.col("metadata")["source_record_key"].alias("source_record_key"), "canonical_title", "normalized_status",
+            "presented_at", "originating_chamber", "links", "primaries", "events",
+        )
+    )
