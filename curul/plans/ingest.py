@@ -185,13 +185,14 @@ def _links(rows: DataFrame, out: dict[str, DataFrame], source: str) -> DataFrame
         F.col("canonical_title").alias("source_title"), F.col("raw_status").alias("source_status"),
         F.lit(LINK_CONFIDENCE[source]).alias("confidence"), F.lit(False).alias("is_primary"),
     )
-    links = upsert(existing, fresh, NATURAL_KEYS["initiative_source_links"], preserve=["id"])
+    # Only the links of the loaded initiatives are merged and rebalanced; the rest passes through.
     touched = rows.select("initiative_id").distinct()
-    mine = links.join(touched, "initiative_id", "left_semi").withColumnRenamed("id", "link_id")
+    known = existing.join(touched, "initiative_id", "left_semi").select(*existing.columns)
+    mine = upsert(known, fresh, NATURAL_KEYS["initiative_source_links"], preserve=["id"]).withColumnRenamed("id", "link_id")
     records = out["source_records"].withColumnRenamed("id", "source_record_id")
     sources = out["sources"].withColumnRenamed("id", "source_id")
     chosen = rebalanced_links(ranked_links(mine, records, sources)).withColumnRenamed("link_id", "id")
-    rest = links.join(touched, "initiative_id", "left_anti")
+    rest = existing.join(touched, "initiative_id", "left_anti")
     return rest.select(*existing.columns).unionByName(chosen.select(*existing.columns))
 
 
