@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,22 @@ RUNTIME_SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their workers import it by name."""
+    context = spark.sparkContext
+    if getattr(context, "_curul_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory(prefix="spark-curul-") as folder:
+        staged = shutil.copytree(package, f"{folder}/tree/curul", ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(f"{folder}/curul-package", "zip", os.path.dirname(staged), "curul")
+        context.addPyFile(archive)  # copied into the application's own file server
+    context._curul_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Switch on adaptive execution with skew splitting; sizes stay as the cluster set them."""
+    ship(spark)
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
