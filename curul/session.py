@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -24,10 +25,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_curul_shipped", False):
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory(prefix="spark-curul-") as folder:
-        staged = shutil.copytree(package, f"{folder}/tree/curul", ignore=shutil.ignore_patterns("__pycache__"))
-        archive = shutil.make_archive(f"{folder}/curul-package", "zip", os.path.dirname(staged), "curul")
-        context.addPyFile(archive)  # copied into the application's own file server
+    folder = tempfile.mkdtemp(prefix="spark-curul-")  # on the driver, which serves the archive from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    staged = shutil.copytree(package, f"{folder}/tree/curul", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/curul-package", "zip", os.path.dirname(staged), "curul"))
     context._curul_shipped = True
 
 
