@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from curul.session import shared_folder, tune
 
@@ -69,21 +70,20 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ranked(rows: DataFrame, group: str, order: Column, per_bucket: int = 20_000) -> DataFrame:
-    """``rank`` from 0 within ``group``, without one task per group.
+def running(rows: DataFrame, amount: Column, order: Column, group: list[str] | None = None, name: str = "before", per_bucket: int = 20_000) -> DataFrame:
+    """``name``: the sum of ``amount`` over the rows before this one in its group, without one task per group.
 
-    A group is dealt into hash buckets; the bucket's place is the running count of the buckets
-    before it, and rows are numbered inside their bucket only. The number of buckets follows
-    the row count, so a group with a third of all rows spreads over the cluster.
+    A group is dealt into hash buckets of ``order``; a bucket starts at the sum of the buckets before
+    it, and rows are summed inside their bucket only. The number of buckets follows the row count,
+    so a group with a third of all rows spreads over the cluster.
     """
+    group = group or []
     buckets = max(1, rows.count() // per_bucket)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
-    sizes = dealt.groupBy(group, "bucket").agg(F.count("*").alias("size"))
-    from pyspark.sql import Window as W
-
-    # One row per bucket: as many rows in a group's window as there are buckets.
-    before = W.partitionBy(group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(group, "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-    inside = W.partitionBy(group, "bucket").orderBy(order)
-    numbered = dealt.withColumn("local", F.row_number().over(inside) - 1)
-    return numbered.join(starts, [group, "bucket"]).withColumn("rank", F.col("first") + F.col("local")).drop("bucket", "local", "first")
+    dealt = rows.withColumns({"_bucket": F.pmod(F.xxhash64(order), F.lit(buckets)), "_amount": amount, "_order": order})
+    # One row per bucket: a group's window has as many rows as there are buckets.
+    earlier = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = dealt.groupBy(*group, "_bucket").agg(F.sum("_amount").alias("_sum"))
+    starts = sums.select(*group, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(*group, "_bucket").orderBy("_order").rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0))).join(starts, [*group, "_bucket"])
+    return placed.withColumn(name, F.col("_start") + F.col("_inside")).drop("_bucket", "_amount", "_order", "_start", "_inside")
