@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from curul.llm.common import Scratch, query, table, texts
 from curul.llm.graphs import alternating_stars
+from curul.llm.groups import resolved, verified
 from curul.llm.words import SPACE, U64, Words, mixed, slices
 
 SHINGLE = 5
@@ -130,53 +131,20 @@ def agreeing(pairs: DataFrame, signs: DataFrame, least: float = SIGNED) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(agree, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= least * union."""
-    left, right = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"set_{k}")) for k in "ab")
-    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
-    return met.where(F.lit(100) * F.col("both") >= F.lit(least) * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b").distinct()
-
-
-def possible(sizes_least: int, shared: str, own: str, other: str) -> str:
-    """SQL: whether sets of sizes ``own`` and ``other`` with at most ``shared`` in common can reach the limit."""
-    return f"100 * {shared} >= {sizes_least} * ({own} + {other} - {shared})"
-
-
 def components(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(signed rows, (id, component) of every linked set's smallest doc_id)."""
+    """(signed rows, (node, component) of the sets with a link, named by their smallest doc_id)."""
     rows = scratch.table(signed(docs))
     # Equal sets are one node, named by their smallest doc_id; a group of copies is one row before any comparison.
     nodes = scratch.table(
         rows.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b")
         .agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).where("id is not null")
     )
-    member = nodes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    groups = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = scratch.table(member.join(groups, "key"))
-    # The member that meets most others over all bands is near the middle of its group.
-    central = met.groupBy("id").agg(F.sum("size").alias("met"))
-    heads = met.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("head"))
-    star = met.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    likely = scratch.table(agreeing(star, nodes))
-    wanted = met.select("id").distinct()
-    sets = scratch.table(sets_of(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).distinct())
-    links = scratch.table(verified(likely, sets, least))
-    found = alternating_stars(links, scratch)
-
-    # Groups that hold several components yet: which of their members can still have a partner outside their own?
-    labelled = met.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_groups = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi")
-    open_members = scratch.table(labelled.join(mixed_groups.select("key", "least_n"), "key"))
-    # A shingle that no other open set has cannot be shared: it bounds every intersection of its set.
-    entries = sets.join(open_members.select("id").distinct(), "id", "left_semi").select("id", F.explode("hashes").alias("hash"))
-    alone = entries.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    bounded = open_members.join(alone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-    able = scratch.table(bounded.where(possible(least, "shared", "n", "greatest(least_n, shared)")).select("key", "id", "n", "shared", "component"))
-    x, y = (able.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "shared", "component"))) for k in "xy")
-    rest = x.join(y, "key").where("id_x < id_y and component_x <> component_y").where(possible(least, "least(shared_x, shared_y)", "n_x", "n_y"))
-    more = scratch.table(verified(agreeing(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct(), nodes), sets, least))
-    final = alternating_stars(links.union(more), scratch)
-    return rows, final
+
+    def prepare(ids: DataFrame):
+        sets = scratch.table(sets_of(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).distinct())
+        return lambda pairs: verified(scratch.table(agreeing(pairs, nodes)), sets, least), sets
+
+    return rows, resolved(nodes.select("id", F.explode("bands").alias("key")), prepare, alternating_stars, least, scratch)
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -268,6 +268,20 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def filtered(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``most``, whole and in their own columns."""
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))  # clashing names would be ambiguous
+    at = names.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([of(t.as_py() or "") < most for t in batch.column(at)], pa.bool_()))
+
+    return inner.mapInArrow(keep, inner.schema).toDF(*names)
+
+
 @query()
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A toxicity score for every document."""
