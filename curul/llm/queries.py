@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, in the operators' order."""
 
-from curul.llm import decontamination, line_dedup, near_dedup, packing, toxicity, warc  # noqa: F401
+from curul.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, secrets, toxicity, warc  # noqa: F401
 from curul.llm.common import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
