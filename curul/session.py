@@ -16,6 +16,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even where the plan then needs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A generated method beyond this size is not compiled by the JVM; smaller pieces are.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Groups of a task are gathered in a hash map; sorting begins where very many are open at once.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
 }
 
 
