@@ -42,6 +42,11 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class Scratch:
     """Tables of one run below the cluster's shared folder, written once and dropped together.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curul.llm.common import query, table, texts
+from curul.llm.common import let, query, table, texts
 
 GRAM = 12
 WINDOW = 16
@@ -23,11 +23,6 @@ PLACES = (1 << PLACE_BITS) - 1
 BLOCK = 16
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def chosen_by_block(rows: DataFrame, gram: int = GRAM, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """``rows`` with a text ``txt``, one row per ``block`` windows, and ``picked``: the values chosen in those.
 
