@@ -47,14 +47,16 @@ def resolved(
     labelled = met.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     apart = scratch.table(labelled.select("key", "id", "component").join(mixed.select("key"), "key", "left_semi"))
-    opened = scratch.table(sets.join(apart.select("id").distinct(), "id", "left_semi"))
-    alone = opened.select("id", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    own = alone.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    bound = opened.select("id", F.size("hashes").alias("n")).join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
-    bounded = apart.join(bound, "id")
-    least_n = bounded.groupBy("key").agg(F.min("n").alias("least_n"))
-    bounded = bounded.join(least_n, "key")
-    able = scratch.table(bounded.where(possible(least, "shared", "n", "greatest(least_n, shared)")).select("key", "id", "n", "shared", "component"))
+    able = apart
+    for _ in range(3):
+        # Sets that were set aside no longer count: what only they share with a set is its own the next time.
+        opened = sets.join(able.select("id").distinct(), "id", "left_semi")
+        alone = opened.select("id", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        own = alone.where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+        bound = opened.select("id", F.size("hashes").alias("n")).join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+        bounded = scratch.table(able.select("key", "id", "component").join(bound, "id"))
+        among = bounded.groupBy("key").agg(F.min("n").alias("least_n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        able = scratch.table(bounded.join(among, "key").where(possible(least, "shared", "n", "greatest(least_n, shared)")).select("key", "id", "n", "shared", "component"))
     x, y = (able.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "shared", "component"))) for k in "xy")
     rest = x.join(y, "key").where("id_x < id_y and component_x <> component_y").where(possible(least, "least(shared_x, shared_y)", "n_x", "n_y"))
     more = scratch.table(check(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()))
