@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 One model is of random strings, learned from the values that the fixed patterns find anywhere in the
-corpus; the other is of ordinary text, learned from all of it. A token that the first explains far
+corpus; the other is of ordinary text, learned from all that lies outside long tokens. A token that the first explains far
 better than the second is a secret that no pattern names.
 """
 
@@ -24,7 +24,8 @@ KINDS = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Long tokens; bare numbers, as of cards and accounts, are no keys.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?![0-9-]+(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}")
 
 #: Letters by class: the token alphabet, then all others as one.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -51,6 +52,12 @@ def found(text: str) -> tuple[list[dict], list[dict]]:
     return spans, rest
 
 
+def pairs_of(value: str) -> np.ndarray:
+    """Counts of neighbouring characters of a token."""
+    c = CLASS[np.frombuffer(value.encode(), np.uint8)]
+    return np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, spans and rest; and, in rows of their own, counts of neighbouring characters of all text."""
 
@@ -62,6 +69,9 @@ def candidates(docs: DataFrame) -> DataFrame:
                 c = CLASS[data]
                 pairs += np.bincount(c[:-1] * CLASSES + c[1:], minlength=len(pairs)) if len(c) > 1 else 0
             out = [found(t.as_py() or "") for t in batch.column(1)]
+            # Ordinary text is what lies outside named and long tokens: a secret doesn't vouch for itself.
+            for value in (s["value"] for o in out for part in o for s in part):
+                pairs -= pairs_of(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out], SPAN_TYPE), pa.array([o[1] for o in out], SPAN_TYPE), pa.nulls(len(out), pa.list_(pa.int64()))], names=names
             )
@@ -81,8 +91,7 @@ def learned(scanned: DataFrame) -> np.ndarray:
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                c = CLASS[np.frombuffer(value.as_py().encode(), np.uint8)]
-                pairs += np.bincount(c[:-1] * CLASSES + c[1:], minlength=len(pairs))
+                pairs += pairs_of(value.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([pairs.tolist()], pa.list_(pa.int64()))], names=["pairs"])
 
     def total(rows: DataFrame) -> np.ndarray:
@@ -92,10 +101,15 @@ def learned(scanned: DataFrame) -> np.ndarray:
         return out.reshape(CLASSES, CLASSES)
 
     random, ordinary = total(values.mapInArrow(count, "pairs array<long>")), total(scanned.where("pairs is not null"))
-    # Half a count for each pair keeps unseen ones finite; random strings also get even odds over the alphabet.
-    random[:-1, :-1] += 4 / CLASSES
-    random, ordinary = random + 0.01, ordinary + 0.5
-    return np.log(random / random.sum(axis=1, keepdims=True)) - np.log(ordinary / ordinary.sum(axis=1, keepdims=True))
+    random[:-1, :-1] += 4 / CLASSES  # even odds over the alphabet, for what no value showed
+
+    def model(counts: np.ndarray) -> np.ndarray:
+        # Pairs that are seldom or never seen follow the single characters' shares.
+        counts = np.maximum(counts, 0)
+        single = counts.sum(axis=0) + 0.5
+        return (counts + 20 * single / single.sum()) / (counts.sum(axis=1, keepdims=True) + 20)
+
+    return np.log(model(random)) - np.log(model(ordinary))
 
 
 def secret_spans(docs: DataFrame, least: float = 20.0, each: float = 1.0) -> DataFrame:
