@@ -155,7 +155,7 @@ def seed_window(url: Column | str, size: int = 5) -> Column:
         return F.when(base.rlike(r"[?&]Reg="), replaced).otherwise(F.concat(base, F.lit("&Reg="), value))
 
     return F.when(
-        is_results_page(address), F.transform(F.sequence(first, first + (min(size, 5) - 1)), numbered)
+        is_results_page(address), F.transform(F.sequence(first, first + (size - 1)), numbered)
     ).otherwise(F.array().cast("array<string>"))
 
 

@@ -719,30 +719,31 @@ def seed_pages(seeds: DataFrame, size: int = 5) -> DataFrame:
     )
 
 
-def reachable_pages(links: DataFrame, seeds: DataFrame, max_depth: int = 3, limit: int | None = None) -> DataFrame:
+def reachable_pages(links: DataFrame, seeds: DataFrame, max_depth: int | None = None, limit: int | None = None) -> DataFrame:
     """Pages reached from the seeds over stored links: (url, depth).
 
-    A round joins the frontier with the links and drops what was reached before. Each round is
-    cut through reliable storage, so the plan does not grow with the depth. ``limit`` keeps the
-    first pages by depth and address.
+    A round joins the frontier with the links and drops what was reached before, until nothing new is
+    found or ``max_depth`` is met. Each round writes its new pages only, through reliable storage.
+    ``limit`` keeps the first pages by depth and address.
     """
     from curul.session import durable
 
     edges = durable(links.select("page_url", "url").distinct())
-    reached = durable(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
-        frontier = reached.filter(F.col("depth") == depth - 1).select(F.col("url").alias("page_url"))
+    frontier = reached = durable(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         fresh = (
-            edges.join(frontier, "page_url", "left_semi")
+            edges.join(frontier.select(F.col("url").alias("page_url")), "page_url", "left_semi")
             .select("url")
             .distinct()
             .join(reached.select("url"), "url", "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        grown = durable(reached.unionByName(fresh))
-        if grown.filter(F.col("depth") == depth).isEmpty():
+        frontier = durable(fresh)
+        if frontier.isEmpty():
             break
-        reached = grown
+        reached = reached.unionByName(frontier)
     return reached.orderBy("depth", "url").limit(limit) if limit else reached
 
 

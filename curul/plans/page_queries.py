@@ -278,7 +278,7 @@ def open_data_texts(spark: SparkSession, folder: str) -> DataFrame:
             lit("Pendiente").alias("estado"), text.alias("url_gaceta"), lit(kind).alias("tipo"),
         )
     )
-    payload = c(lit("Datos ["), F.substring(row("Iniciativa"), 1, 9999), lit(","), row("proposición"), lit("] fin"))
+    payload = c(lit("Datos ["), row("Iniciativa"), lit(","), row("proposición"), lit("] fin"))
     xml = c(lit("<w:body><w:t>"), F.replace(F.replace(payload, F.lit("<"), F.lit("&lt;")), F.lit('"titulo"'), F.lit('</w:t><w:r/><w:t xml:space="preserve">"titulo"')), lit("</w:t></w:body>"))
     return stage(spark, folder, "st_record_texts").select("id", xml.alias("xml"))
 

@@ -178,8 +178,8 @@ def term_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {_bm25_sql('documents', 'doc_id', 'text', DOCUMENT_QUERY)},
- a AS (SELECT k, row_number() OVER (ORDER BY round(rank_score, 9) DESC, k) AS r FROM bm WHERE rank_score > 0 QUALIFY r <= 100),
- b AS (SELECT doc_id AS k, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 100)
+ a AS (SELECT k, row_number() OVER (ORDER BY round(rank_score, 9) DESC, k) AS r FROM bm WHERE rank_score > 0),
+ b AS (SELECT doc_id AS k, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents)
  SELECT coalesce(a.k, b.k) AS doc_id, round(coalesce(1.0 / (60 + CAST(a.r AS DOUBLE)), 0) + coalesce(1.0 / (60 + CAST(b.r AS DOUBLE)), 0), 9) AS fused_score FROM a FULL JOIN b ON a.k = b.k"""
 )
 def hybrid_fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,7 +188,7 @@ def hybrid_fusion(spark: SparkSession, folder: str) -> DataFrame:
     words = search.keyword_scores(docs, "text", DOCUMENT_QUERY).filter(F.col("rank_score") > 0)
     by_word = words.select("doc_id", F.round("rank_score", 9).alias("score"))
     by_length = docs.select("doc_id", F.col("n_chars").alias("score"))
-    rows = search.fused([by_word, by_length], "doc_id", depth=100)
+    rows = search.fused([by_word, by_length], "doc_id")
     return rows.select("doc_id", F.round("fused_score", 9).alias("fused_score"))
 
 
