@@ -10,6 +10,7 @@ Readers take an archive record by record and carry a running SHA-1 from chunk to
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -105,13 +106,15 @@ def lines(rows: DataFrame, chunk: int = CHUNK, date: str = "2024-01-01T00:00:00Z
     return parts.withColumn("body", body).select(F.concat(head, F.col("body")).alias("value"))
 
 
-def write(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **options: str) -> None:
-    """Archives of about ``archive_bytes`` each; chunk rows are dealt evenly, whichever pages they are from."""
-    out = lines(rows)
-    total = rows.agg(F.sum(F.col("bytes") + 500)).first()[0] or 0
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    files = max(1, min(cores, total // (1 << 20)), -(-total // archive_bytes))
-    out.repartition(files).write.option("lineSep", END + END).options(**options).text(path)
+def write(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Gzip-compressed archives of about ``archive_bytes`` of records each, as many per task as it has records for.
+
+    Records are written where the join for their roles left them: payloads are shuffled once.
+    """
+    sizes = rows.agg(F.sum(F.col("bytes") + 500), F.count("*")).first()
+    each = max(1, (sizes[0] or 0) // max(1, sizes[1]))
+    out = lines(rows).write.option("lineSep", END + END).option("compression", "gzip")
+    out.option("maxRecordsPerFile", max(1, archive_bytes // each)).text(path)
 
 
 CHUNK_TYPE = pa.schema(
@@ -149,7 +152,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for archive in batch.column(0):
                 rows, size = [], 0
-                for row in parse(archive.as_py()):
+                for row in parse(gzip.decompress(archive.as_py())):
                     rows.append(row)
                     size += len(row[-1])
                     if size > 4 << 20 or len(rows) >= 5000:
