@@ -10,6 +10,7 @@ are compared with each other, after an exact bound has set aside those that cann
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,27 @@ from curul.llm.groups import resolved, verified
 from curul.llm.words import SPACE, U64, Words, mixed, slices
 
 SHINGLE = 5
-BANDS, ROWS = 21, 6
 LEAST = 85
-#: A pair whose signatures agree in fewer places than this share of them is under 85 % with all but a chance of 1e-4.
-SIGNED = 0.72
+#: Minima in a signature, at most, and the chances at which the bands and the signatures lose a pair that just reaches the limit.
+MINIMA, UNMET, UNLIKE = 126, 6e-5, 1e-4
+
+
+def banding(least: int = LEAST) -> tuple[int, int]:
+    """Bands and rows: the longest bands that leave a pair of similarity ``least`` % unmet with a chance of UNMET at most."""
+    for rows in range(MINIMA, 1, -1):
+        if (1 - (least / 100) ** rows) ** (MINIMA // rows) <= UNMET:
+            return MINIMA // rows, rows
+    return MINIMA, 1
+
+
+def agreement(minima: int, least: int = LEAST) -> int:
+    """The most places that a pair of similarity ``least`` % agrees in with all but a chance of UNLIKE."""
+    share, lost = least / 100, 0.0
+    for k in range(minima + 1):
+        lost += comb(minima, k) * share**k * (1 - share) ** (minima - k)
+        if lost > UNLIKE:
+            return k
+    return minima
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +88,7 @@ def signature(hashes: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.nda
 SIGNED_DDL = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
 
 
-def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """Per row: size and two hashes of its shingle set, signature and band keys (none for an empty set)."""
     times, plus = universal(bands * rows)
 
@@ -116,15 +134,15 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "id long, hashes array<long>")
 
 
-def agreeing(pairs: DataFrame, signs: DataFrame, least: float = SIGNED) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in a share ``least`` of places."""
+def agreeing(pairs: DataFrame, signs: DataFrame, places: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in ``places`` places or more."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                keep.append((x == y).mean() >= least)
+                keep.append((x == y).sum() >= places)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (signs.select(F.col("id").alias(k), F.col("signature").alias(f"sign_{k}")) for k in "ab")
@@ -133,7 +151,9 @@ def agreeing(pairs: DataFrame, signs: DataFrame, least: float = SIGNED) -> DataF
 
 def components(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(signed rows, (node, component) of the sets with a link, named by their smallest doc_id)."""
-    rows = scratch.table(signed(docs))
+    bands, per_band = banding(least)
+    places = agreement(bands * per_band, least)
+    rows = scratch.table(signed(docs, bands, per_band))
     # Equal sets are one node, named by their smallest doc_id; a group of copies is one row before any comparison.
     nodes = scratch.table(
         rows.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b")
@@ -142,7 +162,7 @@ def components(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[D
 
     def prepare(ids: DataFrame):
         sets = scratch.table(sets_of(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).distinct())
-        return lambda pairs: verified(scratch.table(agreeing(pairs, nodes)), sets, least), sets
+        return lambda pairs: verified(scratch.table(agreeing(pairs, nodes, places)), sets, least), sets
 
     return rows, resolved(nodes.select("id", F.explode("bands").alias("key")), prepare, alternating_stars, least, scratch)
 
