@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -208,13 +210,13 @@ def remainders(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = ids(text.as_py() or "") + end
                 start = (len(data) // 4 - 1) // size * size
-                out.append((doc, start, zlib.crc32(data[4 * start :]), data[4 * start :]))
+                out.append((doc, start, zlib.crc32(data[4 * start :]), len(data) // 4, data[4 * start :]))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "ids_crc32", "ids"]
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "ids_crc32", "doc_tokens", "ids"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, "doc_id long, start long, ids_crc32 long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, "doc_id long, start long, ids_crc32 long, doc_tokens long, ids binary")
 
 
 def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, step: int = STEP) -> DataFrame:
@@ -265,8 +267,13 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, step: int = STEP)
     laid = laid.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("at").cast("long")).alias("at"), F.least(room, "length").cast("long").alias("head"))
     whole = laid.where("head = length").selectExpr("doc_id", "start", "length", "ids_crc32", "doc_tokens", f"{first} + at div {size} as sequence_id", f"at % {size} as offset")
     torn = laid.where("head < length")
-    known = remainders(docs.join(torn.select("doc_id").distinct(), "doc_id", "left_semi"), tokenizer, size).distinct()
-    both = torn.join(known, ["doc_id", "start", "ids_crc32"]).select(
+    # Null ids are equal here: all rows without one are read again, with no join, so they do not meet in one task.
+    again = docs.join(torn.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    if torn.where("doc_id is null").limit(1).count():
+        again = again.unionByName(docs.where("doc_id is null").select("doc_id", "text"))
+    same = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    known = remainders(again, tokenizer, size).distinct().withColumnsRenamed({c: f"known_{c}" for c in same})
+    both = torn.join(known, reduce(and_, (F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in same))).select(
         "doc_id",
         "doc_tokens",
         F.explode(
