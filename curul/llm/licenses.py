@@ -1,8 +1,8 @@
 """License scans by sentence rules.
 
-Known licence sentences have identifiers; a licence rule is an ordered list of them. Texts are cut into
-sentences, each is normalised and looked up, and a rule matches where its identifiers follow each
-other in a text's sequence of known sentences.
+Known licence sentences have identifiers; a licence rule is an ordered list of them. Texts are normalised,
+known sentences are looked up between sentence or line ends, however their own lines are wrapped, and a rule
+matches where its identifiers follow each other in a text's sequence of known sentences.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curul.llm.common import query, table, texts
+from curul.llm.common import let, query, table, texts
 
-# Sentences of published licence notices, by identifier. A sentence ends at a full stop before
-# white space, or with its line; case, white space and punctuation do not count.
+# Sentences of published licence notices, by identifier. A sentence begins and ends at a full stop before
+# white space, or with a line; inside, a single line end is white space and a blank line is not. Case, white space,
+# punctuation and with it comment marks do not count. "..." stands for up to twelve words, "v~" for v with or without a stop.
 SENTENCES = {
     "apache2-by": "Licensed under the Apache License, Version 2.0",
     "apache2-not-except": "you may not use this file except in compliance with the License",
@@ -41,14 +42,43 @@ SENTENCES = {
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "reserved": "All rights reserved",
+    "apache2-copy-http": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache2-copy-https": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "mit-title": "MIT License",
+    "mit-the-title": "The MIT License",
+    "bsd2-title": "BSD 2-Clause License",
+    "bsd3-title": "BSD 3-Clause License",
+    "bsd-names-of": "Neither the name of ... nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "gpl2-free": "This ... is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl2-only": "This ... is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License",
+    "gpl2-only-version": "This ... is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl3-free": "This ... is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl2-free": "This ... is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "lgpl21-free": "This ... is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This ... is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-free": "This ... is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v~ 2.0",
+    "isc-title": "ISC License",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "epl1-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v~ 1.0 which ... available at ...",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v~ 2.0 which ... available at ...",
 }
 
 #: Licence rules in the order in which they are tried: the longest sequences first.
 RULES = (
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names-of")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
+    ("GPL-3.0-or-later", ("gpl3-free", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-only", ("gpl2-only-version", "gpl-hope", "gpl-see")),
     ("Apache-2.0", ("apache2-notice", "apache2-copy", "apache2-as-is")),
+    ("Apache-2.0", ("apache2-notice", "apache2-copy-http", "apache2-as-is")),
+    ("Apache-2.0", ("apache2-notice", "apache2-copy-https", "apache2-as-is")),
     ("MIT", ("mit-grant", "mit-keep")),
     ("Apache-2.0", ("apache2-notice",)),
     ("Apache-2.0", ("apache2-by",)),
@@ -63,15 +93,57 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-4",)),
     ("CC0-1.0", ("cc0",)),
     ("all-rights-reserved", ("reserved",)),
+    ("MIT", ("mit-title",)),
+    ("MIT", ("mit-the-title",)),
+    ("BSD-2-Clause", ("bsd2-title",)),
+    ("BSD-3-Clause", ("bsd3-title",)),
+    ("GPL-3.0-or-later", ("gpl3-free",)),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("GPL-2.0-only", ("gpl2-only-version",)),
+    ("LGPL-2.0-or-later", ("lgpl2-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("ISC", ("isc-title",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-and",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("EPL-1.0", ("epl1-terms",)),
+    ("EPL-2.0", ("epl2-terms",)),
 )
 
-#: Every known sentence holds one of these, so texts and sentences without any are passed over.
-HINTS = "(?i)licen|permission|redistribut|free software|warrant|copyright|permitted|rights reserved|contributors may be used"
-ENDS = r"[.!?]+(?=\s|$)|\n"
+#: Every known sentence holds one of these, so texts without any are passed over.
+HINTS = r"(?i)licen|permission|redistribut|free\W+software|warrant|copyright|permitted|rights\W+reserved|contributors\W+may\W+be\W+used|public\W+domain"
+#: In a normalised text: the end of a sentence or paragraph, the end of a line inside one, and the start of a known sentence.
+END, LINE, KNOWN = "\x01", "\x02", "\x03"
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}.]+", " "))
+def normal(text: Column) -> Column:
+    """Words with one space between them, and the marks of sentence and line ends."""
+    steps = (
+        (f"[{END}{LINE}{KNOWN}]", " "), (r"[.!?]+(?=\s|$)", END), (r"\n", LINE), (rf"[^\p{{L}}\p{{N}}.{END}{LINE}]+", " "),
+        (f" *([{END}{LINE}]) *", "$1"), (f"{LINE}{{2,}}|[{END}{LINE}]*{END}[{END}{LINE}]*", END),
+    )
+    out = F.lower(text)
+    for pattern, by in steps:
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
+
+
+def written(sentence: str) -> str:
+    """A known sentence as a pattern over normalised texts. A long one may follow the number or letter of a clause."""
+    words = re.sub(r"[^\w.~]+", " ", sentence.lower()).split()
+    some = rf"(?:[^ {END}{LINE}]+[ {LINE}]){{0,11}}[^ {END}{LINE}]+"
+    parts = [some if w == "..." else w.replace(".", r"\.") for w in words]
+    joined = f"[ {LINE}]".join(parts).replace(f"v~[ {LINE}]", f"v[ .{END}{LINE}]*")
+    return (rf"(?:(?:\d{{1,2}}|[a-z])[ {LINE}])?" if len(words) > 12 else "") + joined
+
+
+#: Longer sentences are tried first, and a sentence with fixed words before one with gaps.
+PATTERNS = {name: written(SENTENCES[name]) for name in sorted(SENTENCES, key=lambda n: ("..." in SENTENCES[n], -len(SENTENCES[n])))}
+SENTENCE = f"(?<![^{END}{LINE}])(?:{'|'.join(PATTERNS.values())})(?![^{END}{LINE}])"
 
 
 #: A text's known sentences are written ``id@place`` in order; the rules are one pattern over that writing.
@@ -101,16 +173,20 @@ def scanned(docs: DataFrame) -> DataFrame:
     Null and empty texts know no sentence. A sentence that repeats is known each time; rows that
     repeat are scanned each. All of a text is read; sentences stay in their row, so nothing is shuffled.
     """
-    known_ids = F.create_map(*(x for name, sentence in SENTENCES.items() for x in (_literal(sentence), F.lit(name))))
-    hinted = F.when(F.col("text").rlike(HINTS), F.split("text", ENDS)).otherwise(F.array().cast("array<string>"))
-    placed = docs.withColumn("sentences", hinted)
-    marked = F.transform("sentences", lambda s, i: F.struct(i.alias("place"), F.when(s.rlike(HINTS), F.try_element_at(known_ids, normal(s))).alias("id")))
-    rows = placed.withColumn("known", F.filter(marked, lambda s: s["id"].isNotNull())).drop("sentences")
-    return rows.withColumn("spans", F.when(F.size("known") == 0, F.array().cast("array<struct<licence: string, first: int, last: int>>")).otherwise(rule_spans(F.col("known"))))
+    between, found = (lambda t: F.split(t, SENTENCE)), (lambda t: F.regexp_extract_all(t, F.lit(SENTENCE), F.lit(0)))
+
+    def units(text: Column) -> Column:
+        cut = F.zip_with(between(text), found(text), lambda other, known: F.concat(F.split(F.coalesce(other, F.lit("")), f"[{END}{LINE}]"), F.array(F.concat(F.lit(KNOWN), known))))
+        return F.filter(F.flatten(F.transform(cut, lambda c: F.coalesce(c, F.array().cast("array<string>")))), lambda u: u != "")
 
+    def name(known: Column) -> Column:
+        return F.coalesce(*(F.when(known.rlike(f"^{KNOWN}{pattern}$"), F.lit(name)) for name, pattern in PATTERNS.items()))
 
-def _literal(sentence: str) -> Column:
-    return F.lit(re.sub(r"[^\w.]+", " ", sentence.lower()).strip())
+    none = F.array().cast("array<string>")
+    sentences = F.when(F.col("text").rlike(HINTS), let(normal(F.col("text")), lambda t: F.when(t.rlike(SENTENCE), units(t)).otherwise(none))).otherwise(none)
+    numbered = docs.withColumn("known", F.transform(sentences, lambda u, i: F.struct(i.alias("place"), u.alias("id"))))
+    rows = numbered.withColumn("known", F.transform(F.filter("known", lambda u: u["id"].startswith(KNOWN)), lambda u: F.struct(u["place"].alias("place"), name(u["id"]).alias("id"))))
+    return rows.withColumn("spans", F.when(F.size("known") == 0, F.array().cast("array<struct<licence: string, first: int, last: int>>")).otherwise(rule_spans(F.col("known"))))
 
 
 @query(
