@@ -85,7 +85,8 @@ def trie(turns: DataFrame, lengths: DataFrame, scratch: Scratch) -> tuple[DataFr
     marked = prefixes(turns.select("conv", "at", "one", "two", "bytes").withColumns({"x1": F.col("one"), "x2": F.col("two")}), F.floor((F.col("at") - 1) / BUCKET), [F.col("at")], {"x1": marks["one"], "x2": marks["two"]})
     root = lengths.select("conv", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("x1"), F.lit(0).cast("long").alias("x2"), F.lit(0).cast("long").alias("bytes"))
     places = scratch.table(marked.select("conv", F.col("at").alias("depth"), "x1", "x2", "bytes").unionByName(root))
-    named = places.groupBy("depth", "x1", "x2").agg(F.min("conv").alias("owner"), F.count("*").alias("n_convs"))
+    # Written, so that both sides of the join are plain exchanges and the rows of a very common beginning can be split.
+    named = scratch.table(places.groupBy("depth", "x1", "x2").agg(F.min("conv").alias("owner"), F.count("*").alias("n_convs")))
     steps = scratch.table(places.join(named, ["depth", "x1", "x2"]).join(lengths, "conv").select("conv", "depth", "owner", "n_convs", "bytes", "length"))
     ends = steps.where("depth = length").select("owner", "depth", "conv")
     # Nodes that a conversation names are the last of its path, from its first depth of its own on.
@@ -109,7 +110,7 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: list[str], scratch:
     """
     sums = [f"sum_{v}" for v in values]
     zero = F.lit(0).cast("long")
-    opened = nodes.select("conv", "depth", "size", *values, *(zero.alias(s) for s in sums), zero.alias("top"), zero.alias("top_depth"))
+    opened = scratch.table(nodes.select("conv", "depth", "size", *values, *(zero.alias(s) for s in sums), zero.alias("top"), zero.alias("top_depth")))
     finished = []
     while opened.limit(1).count():
         totals = opened.groupBy("top", "top_depth").agg(F.count("*").alias("total"))
