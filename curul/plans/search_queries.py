@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curul.operators import details, search, vectors
-from curul.plans import staged
+from curul.operators.index import author_hits
+from curul.plans import indexes, staged
 from curul.plans.registry import query, sql_norm
 from curul.sources.scans import table
 from curul.sources.staging import stage
@@ -102,10 +103,9 @@ def name_lookup(spark: SparkSession, folder: str) -> DataFrame:
  WHERE rank_score > 0 ORDER BY rank_score DESC, k LIMIT 100"""
 )
 def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred best documents for a request, whole texts scored."""
-    rows = search.keyword_scores(table(spark, folder, "documents", "doc_id", "text"), "text", DOCUMENT_QUERY)
-    best = rows.filter(F.col("rank_score") > 0).orderBy(F.col("rank_score").desc(), "doc_id").limit(100)
-    return best.select("doc_id", F.round("rank_score", 6).alias("rank_score"))
+    """The hundred best documents for a request, from the lists of its terms; whole texts are indexed."""
+    best = indexes.documents(spark, folder).best(DOCUMENT_QUERY, 100)
+    return best.select(F.col("key").alias("doc_id"), F.round("rank_score", 6).alias("rank_score"))
 
 
 @query(
@@ -129,9 +129,11 @@ def _search_sql(where: str) -> str:
 
 @query(_search_sql("true") + " SELECT id, canonical_title, round(final_score, 6) AS score, 'keyword,fuzzy' AS matched_on FROM f WHERE trigram_score > 0.2 ORDER BY round(final_score, 9) DESC, id LIMIT 50")
 def topic_search(spark: SparkSession, folder: str) -> DataFrame:
-    rows = search.scored(stage(spark, folder, "st_initiatives"), TITLE_QUERY)
-    best = rows.orderBy(F.round("final_score", 9).desc(), "id").limit(50)
-    return search.as_results(best).select(
+    """The fifty best titles by word and by letters; the initiatives are read for these fifty."""
+    hits = indexes.titles(spark, folder).scored(TITLE_QUERY)
+    best = hits.orderBy(F.round("final_score", 9).desc(), "key").limit(50)
+    rows = stage(spark, folder, "st_initiatives").join(best.withColumnRenamed("key", "id"), "id")
+    return search.as_results(rows).select(
         "id", "canonical_title", F.round("score", 6).alias("score"), F.array_join("matched_on", ",").alias("matched_on")
     )
 
@@ -140,8 +142,23 @@ def topic_search(spark: SparkSession, folder: str) -> DataFrame:
 def search_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Every hit among the initiatives that pass the filters."""
     filters = search.Filters(status="presented", date_from="1996-01-01")
-    kept = search.scalar_filters(stage(spark, folder, "st_initiatives"), filters)
-    return search.scored(kept, TITLE_QUERY).select("id", F.round("final_score", 6).alias("final_score"))
+    kept = search.scalar_filters(stage(spark, folder, "st_initiatives"), filters).select(F.col("id").alias("key"))
+    rows = indexes.titles(spark, folder).scored(TITLE_QUERY, kept)
+    return rows.select(F.col("key").alias("id"), F.round("final_score", 6).alias("final_score"))
+
+
+@query(
+    _search_sql(f"originating_chamber = 'senado' AND id % 5 = 1 AND id IN ({AUTHOR_IDS_SQL})") + " SELECT id, round(rank_score, 6) AS rank_score, round(final_score, 6) AS final_score FROM f"
+)
+def search_constrained(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hit among the initiatives of an author and of a commission."""
+    commissions, assignments = _commissions(spark, folder)
+    filters = search.Filters(author="José Núñez", commission="gobernacion")
+    kept = search.constrained(
+        stage(spark, folder, "st_initiatives"), filters, staged.authors(spark, folder), staged.relations(spark, folder), commissions, assignments
+    ).select(F.col("id").alias("key"))
+    rows = indexes.titles(spark, folder).scored(TITLE_QUERY, kept)
+    return rows.select(F.col("key").alias("id"), F.round("rank_score", 6).alias("rank_score"), F.round("final_score", 6).alias("final_score"))
 
 
 @query(
@@ -153,9 +170,9 @@ def search_filtered(spark: SparkSession, folder: str) -> DataFrame:
  ORDER BY score DESC, presented_at DESC NULLS LAST, initiative_id, author_id LIMIT 100"""
 )
 def author_search(spark: SparkSession, folder: str) -> DataFrame:
-    rows = search.search_authors(
-        staged.authors(spark, folder), staged.relations(spark, folder), stage(spark, folder, "st_initiatives"), AUTHOR_QUERY, 100
-    )
+    """Initiatives of the authors whose name is like the request, found by shared trigrams."""
+    hits = author_hits(indexes.names(spark, folder), staged.authors(spark, folder), AUTHOR_QUERY)
+    rows = search.authored(hits, staged.relations(spark, folder), stage(spark, folder, "st_initiatives"), 100)
     return rows.select("initiative_id", "author_id", "author_name", F.round("match_score", 6).alias("match_score"))
 
 
@@ -206,6 +223,34 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+RECALL_SQL = "SELECT count(*) AS queries, CAST(sum(least(10, (SELECT count(*) FROM embeddings))) AS BIGINT) AS neighbours, true AS enough FROM embeddings WHERE vec_id % 50 = 0"
+
+
+@query(RECALL_SQL)
+def vector_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Search by inverted lists held against the exact search: every fiftieth vector asks all rows; nine of ten neighbours at least are found."""
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = vectors.top_similar(rows, "vec_id", "embedding", asked, 10)
+    found = vectors.probed(spark, indexes.vector_lists(spark, folder), "vec_id", asked, 10)
+    by_query = vectors.recall(found, exact, "vec_id")
+    return by_query.agg(F.count("*").alias("queries"), F.sum("exact").alias("neighbours"), (F.sum("found") >= 0.9 * F.sum("exact")).alias("enough"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
+ s AS (SELECT query_id, vec_id, list_cosine_similarity(v, CAST(embedding AS DOUBLE[])) AS score FROM embeddings, q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+ SELECT query_id, vec_id, round(score, 6) AS score FROM r WHERE rn <= 3"""
+)
+def vector_lists_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The three nearest vectors of every fiftieth one, from the inverted lists, all of which are probed."""
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    best = vectors.probed(spark, indexes.vector_lists(spark, folder), "vec_id", asked, 3, probes=1 << 30)
+    return best.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 # ---- detail and timeline ---------------------------------------------------------------------
 
 

@@ -73,7 +73,11 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="spark-curul-", dir="/tmp")
+        context = spark.sparkContext
+        if getattr(context, "_curul_folder", None) is None:  # one for the application, removed with it
+            context._curul_folder = tempfile.mkdtemp(prefix="spark-curul-", dir="/tmp")
+            atexit.register(shutil.rmtree, context._curul_folder, ignore_errors=True)
+        folder = context._curul_folder
     return folder
 
 

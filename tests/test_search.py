@@ -86,7 +86,9 @@ def test_nearest_vectors_against_brute_force(spark):
     def cosine(a, b):
         return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
 
-    got = vectors.top_similar(df, "id", "v", queries, 5).collect()
+    asked = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    got = vectors.top_similar(df, "id", "v", asked, 5).collect()
+    assert len(got) == 15
     for q, vector in queries:
         best = sorted(rows, key=lambda r: (-cosine(vector, r[1]), r[0]))[:5]
         assert {r.id for r in got if r.query_id == q} == {r[0] for r in best}
