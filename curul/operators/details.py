@@ -45,7 +45,7 @@ def detail_headers(
 
 
 def detail_authors(relations: DataFrame, authors: DataFrame) -> DataFrame:
-    """Nested authors per initiative in signature order."""
+    """Nested authors per initiative in signature order, in pages."""
     joined = relations.join(
         authors.select(F.col("id").alias("author_id"), "full_name"), "author_id"
     )
@@ -54,7 +54,7 @@ def detail_authors(relations: DataFrame, authors: DataFrame) -> DataFrame:
 
 
 def detail_sources(links: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
-    """Nested source links per initiative, best source first."""
+    """Nested source links per initiative, best source first, in pages."""
     ranked = ranked_links(links, records, sources)
     entry = F.struct("system", "source_url", "confidence")
     return packed(ranked, "initiative_id", entry, [F.col("source_priority"), F.col("link_id")], "source_links")
@@ -68,17 +68,23 @@ def detail_norms(norms: DataFrame) -> DataFrame:
 def timeline(
     events: DataFrame, event_links: DataFrame, records: DataFrame, sources: DataFrame
 ) -> DataFrame:
-    """Events with their nested source links, one row per event (and part of a huge list).
+    """Events with their nested source links, one row per event; ``timeline_order`` is the order to read it in.
 
-    ``timeline_order`` is the order to read it in.
+    ``source_links`` has an event's first links, a page of them, and ``source_link_count`` tells how many there are;
+    ``event_sources`` has all pages.
     """
+    nested = event_sources(event_links, records, sources).where("part = 0").drop("part").withColumnRenamed("total", "source_link_count")
+    return events.join(nested, "event_id", "left").withColumn("source_link_count", F.coalesce("source_link_count", F.lit(0).cast("long")))
+
+
+def event_sources(event_links: DataFrame, records: DataFrame, sources: DataFrame, page: int = 1000) -> DataFrame:
+    """(event_id, part, source_links, total): the source links of every event in pages."""
     described = records.select("source_record_id", "source_id", "source_url", "record_type").join(
         sources.select("source_id", "system"), "source_id"
     )
     joined = event_links.join(described, "source_record_id")
     entry = F.struct("system", "source_url", "record_type")
-    nested = packed(joined, "event_id", entry, [F.col("system"), F.col("source_record_id")], "source_links")
-    return events.join(nested, "event_id", "left")
+    return packed(joined, "event_id", entry, [F.col("system"), F.col("source_record_id")], "source_links", page)
 
 
 def timeline_order() -> list[Column]:

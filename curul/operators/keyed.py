@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curul.session import durable
+
 
 def bound(df: DataFrame, **values: Column) -> DataFrame:
     """Columns that are evaluated once, whatever filters and projections follow.
@@ -62,15 +64,35 @@ def with_count(df: DataFrame, key: str, children: DataFrame, child_key: str, nam
     return df.join(per_key, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
 
 
+def numbered(df: DataFrame, key: str, order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
+    """``name``: the place of each row among its key's rows in ``order``, from 0, without one task per key.
+
+    Rows are dealt by range of (key, order), so a hot key spreads over tasks, and numbered inside a task; a key begins in a task
+    after its rows in the tasks before. The dealing is written once, as both steps must see the same.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, F.col(key), *order).withColumn("_part", F.spark_partition_id())
+    dealt = durable(dealt)
+    inside = Window.partitionBy(key, "_part").orderBy(*order)
+    sizes = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per key and task that holds it.
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_in"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    at = dealt.withColumn("_at", F.row_number().over(inside) - 1)
+    placed = at.join(starts, at[key].eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in")))
+    return placed.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_in", "_key", "_at", "_start")
+
+
 def packed(df: DataFrame, key: str, entries: Column, order: Sequence[Column], name: str, page: int = 1000) -> DataFrame:
-    """Children nested as arrays of about ``page`` entries: (key, part, name).
+    """Children nested as pages of ``page`` entries: (key, part, name, total).
 
-    A key with few children gets one part, the nested list itself. A key with very many is spread
-    over parts by hash, so that no single row or task has to hold all of them.
+    Pages are cut by place in ``order`` at every size: page 0 has the first ``page`` entries, the last page the rest. No row holds
+    more than a page and no task more than its share of a key. ``total`` is the number of the key's entries.
     """
-    sized = counts(df, key, "_n")
-    marks = F.xxhash64(*order)
-    parts = F.ceil(F.col("_n") / F.lit(page)).cast("int")
-    spread = df.join(sized, key).withColumn("part", F.pmod(marks, parts).cast("int"))
-    nested = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], entries.alias("entry"))))
-    return spread.groupBy(key, "part").agg(F.transform(nested, lambda e: e["entry"]).alias(name))
+    marks = [o.alias(f"o{i}") for i, o in enumerate(order)]
+    rows = numbered(df.select(key, F.struct(*marks, entries.alias("entry")).alias("_e")), key, [F.col(f"_e.o{i}") for i in range(len(order))], "_place")
+    pages = rows.groupBy(key, F.floor(F.col("_place") / F.lit(page)).cast("int").alias("part")).agg(F.array_sort(F.collect_list("_e")).alias("_es"))
+    nested = pages.select(key, "part", F.transform("_es", lambda e: e["entry"]).alias(name))
+    totals = nested.groupBy(key).agg(F.sum(F.size(name)).alias("total")).withColumnRenamed(key, "_key")
+    return nested.join(totals, nested[key].eqNullSafe(F.col("_key"))).drop("_key")

@@ -105,12 +105,30 @@ def test_chunks_cover_the_text(spark):
     assert first[1].content.split()[0] == "w20" and [r.id for r in rows if r.id != 1] == [3]
 
 
-def test_huge_child_lists_are_spread(spark):
-    df = spark.range(50).selectExpr("'k' key", "id").union(spark.createDataFrame([("s", 1)], "key string, id long"))
-    rows = packed(df, "key", F.col("id"), [F.col("id")], "ids", page=10).collect()
-    big = [r for r in rows if r.key == "k"]
-    assert len(big) > 1 and sorted(i for r in big for i in r.ids) == list(range(50))
-    assert [r.ids for r in rows if r.key == "s"] == [[1]]
+def test_child_lists_are_cut_by_place(spark):
+    df = spark.range(2500).selectExpr("'k' key", "id").union(spark.createDataFrame([("s", 1), (None, 3), (None, 2)], "key string, id long")).repartition(7)
+    rows = packed(df, "key", F.col("id"), [-F.col("id")], "ids").collect()
+    assert [(r.part, list(r.ids), r.total) for r in rows if r.key == "s"] == [(0, [1], 1)]
+    big = sorted((r for r in rows if r.key == "k"), key=lambda r: r.part)
+    assert [len(r.ids) for r in big] == [1000, 1000, 500] and {r.total for r in big} == {2500}
+    assert [list(r.ids) for r in rows if r.key is None] == [[3, 2]]
+
+
+def test_child_lists_follow_their_order(spark):
+    df = spark.range(2500).selectExpr("id % 3 key", "id", "cast(id % 7 as string) mark").repartition(5)
+    rows = packed(df, "key", F.col("id"), [F.col("mark"), F.col("id")], "ids", page=100).orderBy("key", "part").collect()
+    for key in range(3):
+        assert [i for r in rows if r.key == key for i in r.ids] == sorted((i for i in range(2500) if i % 3 == key), key=lambda i: (str(i % 7), i))
+
+
+def test_an_event_with_very_many_links_is_one_row(spark):
+    events = spark.createDataFrame([("e", "i"), ("f", "i")], "event_id string, initiative_id string")
+    links = spark.range(2300).selectExpr("'e' event_id", "id source_record_id")
+    records = spark.range(2300).selectExpr("id source_record_id", "1 source_id", "concat('u', id) source_url", "'t' record_type")
+    sources = spark.createDataFrame([(1, "sil")], "source_id int, system string")
+    got = {r.event_id: (len(r.source_links or []), r.source_link_count) for r in details.timeline(events, links, records, sources).collect()}
+    assert got == {"e": (1000, 2300), "f": (0, 0)}
+    assert details.event_sources(links, records, sources).count() == 3
 
 
 def test_unknown_initiative_is_an_error(spark):
