@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,12 +124,12 @@ def _chamber_events(events: list[Column], presented: Column, fallback: Column, r
     )
 
 
-def record_events(records: DataFrame, source: str, run_ts: str, key: str = "initiative_id") -> DataFrame:
-    """One row per event of each record; ``seq`` is the place in the order of derivation."""
+def record_events(records: DataFrame, source: str, run_ts: str, key: str = "initiative_id", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per event of each record; ``seq`` is the place in the order of derivation, ``carry`` names columns of the record to keep."""
     chamber = chamber_wide("chamber") if "chamber" in records.columns else F.lit(None).cast("string")
     return (
-        records.select(key, chamber.alias("chamber"), F.posexplode(event_array(source, run_ts)).alias("seq", "e"))
-        .select(key, "chamber", "seq", "e.*", F.lit(source).alias("source"))
+        records.select(key, *carry, chamber.alias("chamber"), F.posexplode(event_array(source, run_ts)).alias("seq", "e"))
+        .select(key, *carry, "chamber", "seq", "e.*", F.lit(source).alias("source"))
         .withColumn("event_hash", event_hash(key, "event_type", "event_date", "title"))
     )
 

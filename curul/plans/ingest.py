@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curul.functions import names, status, urls
-from curul.functions.text import metadata_text, normalize_text, row_id
+from curul.functions.text import metadata_text, normalize_text, row_id, sha256
 from curul.operators import events as event_ops
 from curul.operators import extraction
 from curul.operators.keyed import best_per_key
@@ -73,6 +73,13 @@ def parse(pages: DataFrame, source: str) -> DataFrame:
     return extraction.merge_details(results, details).unionByName(generic)
 
 
+def content_hash(records: DataFrame) -> Column:
+    """SHA-256 of all that was read from a record: another status, summary or author is another content."""
+    kinds = {f.name: f.dataType.typeName() for f in records.schema}
+    parts = [F.array_sort(F.map_entries(c)).alias(c) if kinds[c] == "map" else F.col(c) for c in sorted(kinds) if c != "fetched_at"]
+    return sha256(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
+
+
 def _chamber(source: str):
     return (status.chamber_narrow if source in REPLACES_AUTHORS else status.chamber_wide)("chamber")
 
@@ -80,7 +87,7 @@ def _chamber(source: str):
 def identified(records: DataFrame, initiatives: DataFrame, source: str) -> DataFrame:
     """Mapped records with the initiative each belongs to, and whether it is a new one."""
     unique = best_per_key(records, ["source_record_key"], [F.col("dedupe_hash").asc(), F.col("source_url").asc()])
-    rows = extraction.mapped(unique)
+    rows = extraction.mapped(unique.withColumn("content_hash", content_hash(unique)))
     extra = F.create_map(
         F.lit(HASH_NAMES[source]), F.col("dedupe_hash"),
         F.lit("source_url"), F.col("source_url"),
@@ -112,16 +119,17 @@ def load(records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts:
         identified(records, tables["initiatives"], source)
         .withColumn("source_id", source_id)
         .withColumn(
-            "source_record_id", row_id("source_id", "record_type", "source_record_key", "dedupe_hash")
+            "source_record_id", row_id("source_id", "record_type", "source_record_key", "content_hash")
         )
     )
-    made = durable(_events(rows, source, run_ts))
+    derived = durable(_derived(rows, source, run_ts))
+    made = _events(derived)
     out["initiatives"] = _initiatives(rows, made, tables["initiatives"], source)
     out["source_records"] = upsert(
         tables["source_records"],
         rows.select(
             F.col("source_record_id").alias("id"), "source_id", "record_type", "source_record_key", "source_url",
-            F.col("dedupe_hash").alias("content_hash"), F.lit("parsed").alias("status"),
+            "content_hash", F.lit("parsed").alias("status"),
         ),
         NATURAL_KEYS["source_records"],
         preserve=["id"],
@@ -131,16 +139,15 @@ def load(records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts:
     out["legislative_events"] = upsert(
         tables["legislative_events"], made, NATURAL_KEYS["legislative_events"], preserve=["id"]
     )
-    event_links = made.join(rows.select("initiative_id", "source_record_id"), "initiative_id").select(
-        F.col("id").alias("legislative_event_id"), "source_record_id"
-    )
+    # An event is linked to the records that tell of it, not to all records of its initiative.
+    event_links = derived.select(F.col("id").alias("legislative_event_id"), "source_record_id")
     out["event_source_links"] = upsert(
         tables["event_source_links"], event_links.distinct(), NATURAL_KEYS["event_source_links"], mode="keep"
     )
     if source == "sil":
         pages = rows.select(
-            row_id("source_id", "dedupe_hash").alias("id"), "initiative_id", "source_id",
-            F.lit("html_snapshot").alias("document_kind"), "source_url", F.col("dedupe_hash").alias("sha256"),
+            row_id("source_id", "content_hash").alias("id"), "initiative_id", "source_id",
+            F.lit("html_snapshot").alias("document_kind"), "source_url", F.col("content_hash").alias("sha256"),
         )
         out["documents"] = upsert(tables["documents"], pages, NATURAL_KEYS["documents"], preserve=["id"])
     if source == "gaceta_diputados":
@@ -148,16 +155,22 @@ def load(records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts:
     return out, event_ops.outcome_counts(rows)
 
 
-def _events(rows: DataFrame, source: str, run_ts: str) -> DataFrame:
+def _derived(rows: DataFrame, source: str, run_ts: str) -> DataFrame:
+    """The events that each record tells of."""
     shaped = rows.select(
-        "initiative_id", "canonical_title", "presented_at", "raw_status", "summary",
+        "initiative_id", "source_record_id", "canonical_title", "presented_at", "raw_status", "summary",
         F.col("chamber_name").alias("chamber"),
         metadata_text("metadata", "referred_to").alias("referred_to"),
         metadata_text("metadata", "gaceta_issue_number").alias("gaceta_issue_number"),
     )
-    made = event_ops.record_events(shaped, source, run_ts)
-    unique = best_per_key(made, ["initiative_id", "event_hash"], [F.col("seq").desc(), F.col("description").asc()])
-    return unique.withColumn("id", row_id("initiative_id", "event_hash"))
+    made = event_ops.record_events(shaped, source, run_ts, carry=["source_record_id"])
+    return made.withColumn("id", row_id("initiative_id", "event_hash"))
+
+
+def _events(derived: DataFrame) -> DataFrame:
+    """Each event of an initiative once: the last derived, then by text."""
+    order = [F.col("seq").desc(), F.col("description").asc(), F.col("source_record_id").asc()]
+    return best_per_key(derived, ["initiative_id", "event_hash"], order).drop("source_record_id")
 
 
 def _initiatives(rows: DataFrame, made: DataFrame, existing: DataFrame, source: str) -> DataFrame:

@@ -14,7 +14,8 @@ from curul.plans import ingest
 from curul.schema import PAGE
 from curul.sources.scans import seed_sources
 
-LATENESS = "7 days"
+#: A state store that keeps its keys on disk instead of in the executors' memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def landed_pages(
@@ -29,13 +30,13 @@ def landed_pages(
     )
 
 
-def distinct_pages(pages: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Each (address, content) once within the allowed lateness; the state is bounded by it."""
-    return (
-        pages.withColumn("content_hash", sha256("html"))
-        .withWatermark("fetched_at", lateness)
-        .dropDuplicatesWithinWatermark(["url", "content_hash"])
-    )
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """Each (address, content) once, however late it comes.
+
+    What has been seen is keyed state on disk, in the checkpoint folder: two values a page, never dropped.
+    """
+    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return pages.withColumn("content_hash", sha256("html")).dropDuplicates(["url", "content_hash"])
 
 
 class Snapshots:

@@ -95,6 +95,65 @@ def test_stream_equals_batch_and_survives_a_replay(spark, tmp_path):
     assert contents(streamed) == contents(batch)
 
 
+def test_events_are_linked_to_the_records_that_tell_of_them(spark):
+    source = "gaceta_diputados"
+    first, _ = loaded(ingest.parse(gazette(spark, [1, 2]), source), start_tables(spark), source)
+    second, _ = loaded(ingest.parse(gazette(spark, [1, 2], "Dictaminada y aprobada en la Cámara de Diputados"), source), first, source)
+    sound(second)
+    assert second["initiatives"].count() == 2
+    # The same key and title with another status is another content, so a record of its own.
+    assert first["source_records"].count() == 2 and second["source_records"].count() == 4
+    links = second["event_source_links"].groupBy("legislative_event_id").count().collect()
+    events_of = {r.id: r.event_type for r in second["legislative_events"].collect()}
+    by_type = {}
+    for r in links:
+        by_type.setdefault(events_of[r.legislative_event_id], set()).add(r["count"])
+    assert by_type["presentation"] == {2} and by_type["turn_to_commission"] == {1}
+
+
+def test_late_and_repeated_pages(spark, tmp_path):
+    source = "gaceta_diputados"
+    landing = str(tmp_path / "landing")
+    shaped = lambda n, day: gazette(spark, n).select("url", "html").withColumns({"fetched_at": F.lit(day).cast("timestamp"), "content_type": F.lit("text/html")})
+    shaped([1, 2], "2026-03-01").coalesce(1).write.parquet(landing)
+    tables = Snapshots(spark, str(tmp_path / "tables"))
+
+    def run():
+        query = stream_source(landed_pages(spark, landing, files_per_batch=1), source, tables, str(tmp_path / "state"), RUN)
+        query.awaitTermination()
+        return max(p["batchId"] for p in query.recentProgress)
+
+    run()
+    shaped([3, 2], "2026-01-20").coalesce(1).write.mode("append").parquet(landing)
+    shaped([4], "2026-03-02").coalesce(1).write.mode("append").parquet(landing)
+    last = run()
+    batch, _ = loaded(ingest.parse(gazette(spark, [1, 2, 3, 4]), source), start_tables(spark), source)
+    assert contents(tables.read(last + 1)) == contents(batch)
+
+
+def test_references_follow_merged_events(spark):
+    event = "id string, initiative_id string, event_type string, event_date string, title string, event_hash string"
+    from curul.functions.text import event_hash
+
+    rows = [("e1", "a", "presentation", "2020-01-01", "t"), ("e2", "b", "presentation", "2020-01-01", "t"), ("e3", "b", "other", "2020-01-02", "t"), ("e4", "c", "other", "2020-01-02", "t")]
+    made = spark.createDataFrame([(*r, "") for r in rows], event).withColumn("event_hash", event_hash("initiative_id", "event_type", "event_date", "title"))
+    tables = {
+        "initiatives": spark.createDataFrame([("a",), ("b",), ("c",)], "id string"),
+        "legislative_events": made,
+        "event_source_links": spark.createDataFrame([("e1", "r1"), ("e1", "r2"), ("e2", "r1"), ("e3", "r1"), ("e4", "r9")], "legislative_event_id string, source_record_id string"),
+        "documents": spark.createDataFrame([("d1", "a", "e1", "s", "h1"), ("d2", "b", "e2", "s", "h2"), ("d3", "c", None, "s", "h3")], "id string, initiative_id string, legislative_event_id string, source_id string, sha256 string"),
+    }
+    pairs = spark.createDataFrame([("b", "a", 0.95), ("c", "a", 0.92)], "duplicate_initiative_id string, canonical_initiative_id string, confidence double")
+    out = merges.apply_duplicate_merge(pairs, tables)
+    events_ = {r.id: r for r in out["legislative_events"].collect()}
+    assert len(events_) == 2 and {r.initiative_id for r in events_.values()} == {"a"}
+    kept = {r.event_type: r.id for r in events_.values()}
+    links = {(r.legislative_event_id, r.source_record_id) for r in out["event_source_links"].collect()}
+    assert links == {(kept["presentation"], "r1"), (kept["presentation"], "r2"), (kept["other"], "r1"), (kept["other"], "r9")}
+    assert {(r.id, r.initiative_id, r.legislative_event_id) for r in out["documents"].collect()} == {("d1", "a", kept["presentation"]), ("d2", "a", kept["presentation"]), ("d3", "a", None)}
+    assert integrity.orphan_rows(out["event_source_links"], "legislative_event_id", out["legislative_events"]).count() == 0
+
+
 def test_duplicate_merge_moves_all_children(spark):
     tables = start_tables(spark)
     tables["initiatives"] = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
