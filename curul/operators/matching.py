@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curul.functions.text import as_col, matches, metadata_text, trigram_similarity, trigrams
-from curul.operators.keyed import best_per_key
+from curul.operators.keyed import best_per_key, bound
+from curul.session import durable
 
 # --- fixed values: signal weights, thresholds, the sources' constant signals, match rules -----
 WEIGHTS = {
@@ -151,6 +152,48 @@ def constant_signals(records: DataFrame, source: str) -> DataFrame:
     return records
 
 
+def near_candidates(records: DataFrame, existing: DataFrame, least: float = 0.7, days: int = 30) -> DataFrame:
+    """Pairs of a record and an initiative whose titles share ``least`` of their trigrams and whose dates are at most ``days`` apart.
+
+    A set-similarity join: each title's trigrams are ordered by rarity among the initiatives, and two titles that are near
+    enough share one of their first few, whose number follows from ``least`` and the title's length. Only these, together with the band of
+    dates, are joined; lengths too far apart are passed over, and what is left is verified on whole sets, once a pair. Titles without
+    trigrams and rows without a date pair with nothing. The result has left_ and right_ columns for ``measured_signals``.
+    """
+    def sets(df: DataFrame, key: str) -> DataFrame:
+        rows = bound(df.where(F.col("presented_at").isNotNull()), _grams=trigrams("title")).where(F.size("_grams") > 0)
+        return rows.select(F.col(key).alias("_key"), "presented_at", "_grams")
+
+    left, right = durable(sets(records, "record_id")), durable(sets(existing, "id"))
+    often = right.select(F.explode("_grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def firsts(df: DataFrame) -> DataFrame:
+        """One row per rare trigram of a title; a title of n trigrams needs its n - ceil(least * n) + 1 rarest."""
+        listed = df.select("_key", F.size("_grams").alias("size"), F.explode("_grams").alias("gram")).join(often, "gram", "left")
+        # A list of one title's trigrams.
+        ranked = listed.groupBy("_key", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("by"))
+        needed = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9).cast("int") + 1
+        return ranked.select("_key", "size", F.explode(F.slice("by", F.lit(1), needed)).alias("g")).select("_key", "size", F.col("g.gram").alias("gram"))
+
+    # Dates in bands of ``days``: two that are near enough are in the same band or in neighbouring ones.
+    band = F.floor(F.unix_date("presented_at") / F.lit(max(1, days)))
+    mine = firsts(left).join(left.select("_key", "presented_at"), "_key").withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
+    theirs = firsts(right).join(right.select("_key", "presented_at"), "_key").withColumn("band", band)
+    a, b = (df.select("gram", "band", F.col("_key").alias(f"{side}_key"), F.col("size").alias(f"{side}_size"), F.col("presented_at").alias(f"{side}_day")) for df, side in ((mine, "a"), (theirs, "b")))
+    met = a.join(b, ["gram", "band"]).where((F.abs(F.datediff("a_day", "b_day")) <= days) & (F.least("a_size", "b_size") >= F.lit(least) * F.greatest("a_size", "b_size") - 1e-9))
+    pairs = met.select("a_key", "b_key").distinct()
+    sure = (
+        pairs.join(left.select(F.col("_key").alias("a_key"), F.col("_grams").alias("a_grams")), "a_key").join(right.select(F.col("_key").alias("b_key"), F.col("_grams").alias("b_grams")), "b_key")
+        .where(trigram_similarity(F.col("a_grams"), F.col("b_grams")) >= least).select("a_key", "b_key")
+    )
+
+    def sided(df: DataFrame, side: str, key: str, joined: str) -> DataFrame:
+        return df.select(F.col(key).alias(joined), *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c != key))
+
+    both = sure.join(sided(records, "left", "record_id", "a_key"), "a_key").join(sided(existing, "right", "id", "b_key"), "b_key")
+    return both.withColumnsRenamed({"a_key": "record_id", "b_key": "id"})
+
+
 def measured_signals(pairs: DataFrame) -> DataFrame:
     """Signals measured on matched pairs instead of assumed.
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curul.functions.text import event_hash
 from curul.operators import events as event_ops
 from curul.operators import matching, merges, snapshots
 from curul.operators.clusters import duplicate_pairs, first_wins
 from curul.plans import staged
 from curul.plans.audit_queries import LATEST_SQL, PLAN_SQL, plan_inputs, rank_sql
-from curul.plans.registry import query
+from curul.plans.registry import query, sql_norm
 from curul.plans.text_queries import RAW_STATUS_SQL, raw_status
 from curul.sources.staging import stage
 
@@ -333,6 +334,37 @@ def duplicate_merge_counters(spark: SparkSession, folder: str) -> DataFrame:
     return merges.duplicate_merge_counters(pairs, _merge_tables(spark, folder), STAGED_CONFIDENCE)
 
 
+def _merged_events(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The merge over events that meet: those of one type have the same date and title in every initiative."""
+    rows = staged.events(spark, folder).select(
+        F.col("event_id").alias("id"), "initiative_id", "event_type", F.lit("2020-01-01").alias("event_date"), F.lit("t").alias("title")
+    )
+    links = stage(spark, folder, "st_source_links").select(F.col("link_id").alias("legislative_event_id"), "source_record_id")
+    tables = {
+        "initiatives": stage(spark, folder, "st_initiatives"),
+        "legislative_events": rows.withColumn("event_hash", event_hash(F.col("initiative_id").cast("string"), "event_type", "event_date", "title")),
+        "event_source_links": links,
+    }
+    return merges.apply_duplicate_merge(duplicate_pairs(*plan_inputs(spark, folder)), tables, min_confidence=STAGED_CONFIDENCE)
+
+
+MET_SQL = MAPPING_SQL + """, moved AS (SELECT coalesce(m.new_id, e.initiative_id) AS initiative_id, e.event_type, e.event_id FROM st_events e LEFT JOIN mapping m ON m.old_id = e.initiative_id)"""
+
+
+@query(MET_SQL + " SELECT DISTINCT initiative_id, event_type FROM moved")
+def duplicate_merge_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events after the merge: those that meet at one initiative are one."""
+    return _merged_events(spark, folder)["legislative_events"].select("initiative_id", "event_type")
+
+
+@query(MET_SQL + " SELECT DISTINCT moved.initiative_id, event_type, source_record_id FROM moved JOIN st_source_links l ON l.link_id = moved.event_id")
+def duplicate_merge_event_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Source links of events after the merge, each at the event that stayed; a dangling one would be missing."""
+    out = _merged_events(spark, folder)
+    events = out["legislative_events"].select(F.col("id").alias("legislative_event_id"), "initiative_id", "event_type")
+    return out["event_source_links"].join(events, "legislative_event_id").select("initiative_id", "event_type", "source_record_id")
+
+
 # ---- matching --------------------------------------------------------------------------------
 
 
@@ -404,3 +436,47 @@ def constant_decisions(spark: SparkSession, folder: str) -> DataFrame:
         "id", F.round("confidence", 6).alias("gazette"), F.col("decision").alias("gazette_decision")
     )
     return one.join(two, "id")
+
+
+# A record per two hundredth initiative: its title with one word changed or left out, its date some days off, its authors in part.
+NEAR_SQL = """recs AS (SELECT concat('r', id) AS record_id, CASE id % 3 WHEN 0 THEN concat(canonical_title, ' y otras') WHEN 1 THEN replace(canonical_title, 'reforma la', 'reforma a la') ELSE canonical_title END AS title,
+  canonical_title AS alias, presented_at + CAST(id % 5 AS INTEGER) AS presented_at, originating_chamber AS chamber, id FROM st_initiatives WHERE id % 200 = 3)"""
+
+
+def near_records(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Incoming records with titles near those of existing initiatives, and these initiatives, with authors and norms."""
+    signed = staged.relations(spark, folder).select(F.col("initiative_id").alias("id"), F.array(F.col("author_id").cast("string")).alias("authors"))
+    rows = stage(spark, folder, "st_initiatives").join(signed, "id")
+    norm = F.array(F.col("normalized_status"))
+    existing = rows.select("id", F.col("canonical_title").alias("title"), "presented_at", F.col("originating_chamber").alias("chamber"), "authors", norm.alias("norms"))
+    title = F.col("canonical_title")
+    near = F.when(F.col("id") % 3 == 0, F.concat(title, F.lit(" y otras"))).when(F.col("id") % 3 == 1, F.replace(title, F.lit("reforma la"), F.lit("reforma a la"))).otherwise(title)
+    records = rows.where("id % 200 = 3").select(
+        F.concat(F.lit("r"), F.col("id").cast("string")).alias("record_id"), near.alias("title"), title.alias("alias"),
+        F.date_add("presented_at", (F.col("id") % 5).cast("int")).alias("presented_at"), F.col("originating_chamber").alias("chamber"), "authors", norm.alias("norms"),
+    )
+    return records, existing
+
+
+def _grams(text: str) -> str:
+    words = f"regexp_extract_all({sql_norm(text)}, '[\\p{{L}}\\p{{N}}]+')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(
+    f"""WITH {NEAR_SQL},
+ r AS (SELECT recs.*, {_grams('title')} AS g, {_grams('alias')} AS ag, a.author_id, i.normalized_status AS norm FROM recs JOIN st_initiatives i USING (id) JOIN st_initiative_authors a ON a.initiative_id = recs.id),
+ e AS (SELECT i.id, i.presented_at, originating_chamber AS chamber, {_grams('canonical_title')} AS g, a.author_id, normalized_status AS norm FROM st_initiatives i JOIN st_initiative_authors a ON a.initiative_id = i.id),
+ p AS (SELECT r.record_id, e.id, len(list_intersect(r.g, e.g)) / (len(r.g) + len(e.g) - len(list_intersect(r.g, e.g))) AS t, len(list_intersect(r.ag, e.g)) / (len(r.ag) + len(e.g) - len(list_intersect(r.ag, e.g))) AS al,
+   abs(date_diff('day', e.presented_at, r.presented_at)) AS days, r.author_id = e.author_id AS same_author, r.chamber IS NOT DISTINCT FROM e.chamber AS same_chamber, r.norm = e.norm AS same_norm
+   FROM r, e WHERE abs(date_diff('day', e.presented_at, r.presented_at)) <= 30),
+ s AS (SELECT record_id, id, t, CAST(0.35 AS DOUBLE) * t + CAST(0.15 AS DOUBLE) * al + CAST(0.15 AS DOUBLE) * same_author::INT + CAST(0.15 AS DOUBLE) / (1 + days) + CAST(0.1 AS DOUBLE) * same_chamber::INT + CAST(0.1 AS DOUBLE) * same_norm::INT AS c FROM p WHERE t >= 0.7)
+ SELECT record_id, id AS matched_id, round(t, 6) AS title_similarity, round(c, 6) AS confidence, CASE WHEN round(c, 9) >= 0.85 THEN 'attach' WHEN round(c, 9) >= 0.6 THEN 'review' ELSE 'create' END AS decision FROM s"""
+)
+def measured_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a record and an initiative with near titles and dates, with six measured signals and the decision."""
+    pairs = matching.near_candidates(*near_records(spark, folder), least=0.7, days=30)
+    rows = matching.decide(matching.measured_signals(pairs))
+    sure = F.round("confidence", 9)
+    decision = F.when(sure >= matching.ATTACH, "attach").when(sure >= matching.REVIEW, "review").otherwise("create")
+    return rows.select("record_id", F.col("id").alias("matched_id"), F.round("title_similarity", 6).alias("title_similarity"), F.round("confidence", 6).alias("confidence"), decision.alias("decision"))
