@@ -74,6 +74,20 @@ def reachable_pages(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.reachable_pages(links.unionByName(onward), seeds, max_depth=2)
 
 
+@query(
+    f"""WITH RECURSIVE {LINKS_SQL}, edges AS (SELECT DISTINCT page_url, url FROM links WHERE url IS NOT NULL
+   UNION SELECT url, concat(url, '/next') FROM pages), walk(url, depth) AS (SELECT url, 0 FROM pages
+   UNION SELECT e.url, w.depth + 1 FROM walk w JOIN edges e ON e.page_url = w.url WHERE w.depth < 6)
+ SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1"""
+)
+def reachable_closure(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as seeds, links followed until nothing new is met."""
+    rows = pages(spark, folder)
+    links = extraction.page_links(rows).select("page_url", "url")
+    onward = rows.select(F.col("url").alias("page_url"), F.concat("url", F.lit("/next")).alias("url"))
+    return extraction.reachable_pages(links.unionByName(onward), rows)
+
+
 @query()
 def page_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Elements per page and tag."""
