@@ -64,24 +64,23 @@ def with_count(df: DataFrame, key: str, children: DataFrame, child_key: str, nam
     return df.join(per_key, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
 
 
-def numbered(df: DataFrame, key: str, order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
-    """``name``: the place of each row among its key's rows in ``order``, from 0, without one task per key.
+def numbered(df: DataFrame, key: str, order: Sequence[Column], name: str, total: str = "total", parts: int | None = None) -> DataFrame:
+    """``name``: the place of each row among its key's rows in ``order``, from 0, without one task per key; ``total``: their number.
 
-    Rows are dealt by range of (key, order), so a hot key spreads over tasks, and numbered inside a task; a key begins in a task
-    after its rows in the tasks before. The dealing is written once, as both steps must see the same.
+    Rows are dealt by range of (key, order) and sorted, so a hot key spreads over tasks and a key's rows in a task are
+    numbered in a row; a key begins in a task after its rows in the tasks before. The dealing is written once, as both steps must see the same.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, F.col(key), *order).withColumn("_part", F.spark_partition_id())
-    dealt = durable(dealt)
-    inside = Window.partitionBy(key, "_part").orderBy(*order)
-    sizes = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    dealt = durable(dealt.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
+    sizes = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     # One row per key and task that holds it.
-    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_in"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    at = dealt.withColumn("_at", F.row_number().over(inside) - 1)
-    placed = at.join(starts, at[key].eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in")))
-    return placed.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_in", "_key", "_at", "_start")
+    own = Window.partitionBy(key)
+    earlier = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    starts = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_in"), before.alias("_shift"), F.sum("_n").over(own).alias(total))
+    placed = dealt.join(starts, dealt[key].eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in")))
+    return placed.withColumn(name, F.col("_id") + F.col("_shift")).drop("_part", "_id", "_in", "_key", "_shift")
 
 
 def packed(df: DataFrame, key: str, entries: Column, order: Sequence[Column], name: str, page: int = 1000) -> DataFrame:
@@ -91,8 +90,7 @@ def packed(df: DataFrame, key: str, entries: Column, order: Sequence[Column], na
     more than a page and no task more than its share of a key. ``total`` is the number of the key's entries.
     """
     marks = [o.alias(f"o{i}") for i, o in enumerate(order)]
-    rows = numbered(df.select(key, F.struct(*marks, entries.alias("entry")).alias("_e")), key, [F.col(f"_e.o{i}") for i in range(len(order))], "_place")
-    pages = rows.groupBy(key, F.floor(F.col("_place") / F.lit(page)).cast("int").alias("part")).agg(F.array_sort(F.collect_list("_e")).alias("_es"))
-    nested = pages.select(key, "part", F.transform("_es", lambda e: e["entry"]).alias(name))
-    totals = nested.groupBy(key).agg(F.sum(F.size(name)).alias("total")).withColumnRenamed(key, "_key")
-    return nested.join(totals, nested[key].eqNullSafe(F.col("_key"))).drop("_key")
+    rows = numbered(df.select(key, F.struct(*marks, entries.alias("entry")).alias("_e")), key, [F.col(f"_e.o{i}") for i in range(len(order))], "_place", "_total")
+    part = F.floor(F.col("_place") / F.lit(page)).cast("int").alias("part")
+    pages = rows.groupBy(key, part).agg(F.array_sort(F.collect_list(F.struct("_place", "_e.entry"))).alias("_es"), F.max("_total").alias("total"))
+    return pages.select(key, "part", F.transform("_es", lambda e: e["entry"]).alias(name), "total")
