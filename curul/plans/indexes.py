@@ -15,6 +15,10 @@ from curul.sources.scans import table
 from curul.sources.staging import stage
 
 
+#: Part of an index's name; another one has every index written anew.
+EDITION = ""
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
@@ -27,7 +31,7 @@ def place_of(spark: SparkSession, rows: DataFrame, name: str) -> str:
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         state.append(f"{file} {status.getLen()} {status.getModificationTime()}")
-    digest = hashlib.sha256("\n".join([name, *state]).encode()).hexdigest()[:24]
+    digest = hashlib.sha256("\n".join([EDITION, name, *state]).encode()).hexdigest()[:24]
     return f"{shared_folder(spark).rstrip('/')}/curul-index-{digest}/{name}"
 
 
