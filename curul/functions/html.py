@@ -134,8 +134,14 @@ def _describe(source: str) -> tuple[list[dict], str]:
                 link = link or (element["attrs"].get("onclick") if element["tag"] in ("a", "img") else None)
                 if link:
                     anchors.setdefault(id(above), []).append(link)
+    follows, later = {}, {}
+    for element in reversed(reader.elements):
+        place = tuple(element["parents"])
+        if element["tag"] == "dt":
+            follows[id(element)] = later.get(place)
+        later[place] = element
     out = []
-    for i, element in enumerate(reader.elements):
+    for element in reader.elements:
         tag, attrs = element["tag"], element["attrs"]
         marks = [m.lower() for m in (attrs.get("class") or "").split()] + [(attrs.get("id") or "").lower()]
         marks = [m for m in marks if m in MARKED]
@@ -164,7 +170,7 @@ def _describe(source: str) -> tuple[list[dict], str]:
             row["links"] = anchors.get(id(element), [])
             row["html"] = source[element["start"] : element["stop"]]
         elif tag == "dt":
-            after = next((e for e in reader.elements[i + 1 :] if e["parents"] == element["parents"]), None)
+            after = follows[id(element)]
             if after is not None and after["tag"] == "dd":
                 row["follows"] = _squeeze(reader.text(after))
         elif tag == "a" and attrs.get("href"):
@@ -178,29 +184,60 @@ TEXT_LIST = pa.list_(pa.string())
 FIELDS = {name: TEXT_LIST if name in LISTS else pa.string() for name in FIELD_NAMES}
 
 
+BATCH_CHARS = 4 << 20
+
+
+def _attempt(html: str) -> tuple[list[dict], str, str | None]:
+    """Elements, body text and what went wrong: a page whose markup cannot be read has no elements."""
+    try:
+        return *_describe(html), None
+    except Exception as error:  # whatever the tokenizer stumbles on is the page's own outcome, not the job's
+        return [], "", f"{type(error).__name__}: {error}"
+
+
 def with_elements(pages: DataFrame) -> DataFrame:
-    """Pages with ``elements`` (in document order) and ``body`` text in place of the HTML."""
+    """Pages with ``elements`` (in document order) and ``body`` text in place of the HTML.
+
+    A page whose markup cannot be read has no elements and an empty body; ``read_errors`` says why. Output goes on
+    every few million characters of markup, so a task holds that much and one page at a time.
+    """
     kept = [f for f in pages.schema.fields if f.name != "html"]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
+    def part(batch: pa.RecordBatch, described: list[tuple[list[dict], str]]) -> pa.RecordBatch:
+        offsets = [0]
+        for elements, _ in described:
+            offsets.append(offsets[-1] + len(elements))
+        arrays = [pa.array([e[name] for elements, _ in described for e in elements], kind) for name, kind in FIELDS.items()]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=list(FIELDS)))
+        bodies = pa.array([body for _, body in described], pa.string())
+        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lists, bodies], names=[*names, "elements", "body"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: dict[str, list] = {name: [] for name in FIELDS}
-            offsets, bodies = [0], []
-            for html in batch.column("html").to_pylist():
-                elements, body = _describe(html or "")
-                for element in elements:
-                    for name, values in columns.items():
-                        values.append(element[name])
-                offsets.append(offsets[-1] + len(elements))
-                bodies.append(body)
-            arrays = [pa.array(values, FIELDS[name]) for name, values in columns.items()]
-            structs = pa.StructArray.from_arrays(arrays, names=list(FIELDS))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+            first, size, described = 0, 0, []
+            for i, html in enumerate(batch.column("html")):
+                text = html.as_py() or ""
+                described.append(_attempt(text)[:2])
+                size += len(text)
+                if size >= BATCH_CHARS:
+                    yield part(batch.slice(first, i + 1 - first), described)
+                    first, size, described = i + 1, 0, []
+            if described:
+                yield part(batch.slice(first), described)
+
+    return pages.mapInArrow(read, f"{schema}, elements array<{ELEMENT}>, body string")
+
+
+def read_errors(pages: DataFrame) -> DataFrame:
+    """(url, html, error): why the markup of a page cannot be read, null where it can."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = [_attempt(html.as_py() or "")[2] for html in batch.column("html")]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], lists, pa.array(bodies, pa.string())],
-                names=[*names, "elements", "body"],
+                [batch.column("url"), batch.column("html"), pa.array(errors, pa.string())], names=["url", "html", "error"]
             )
 
-    return pages.mapInArrow(read, f"{schema}, elements array<{ELEMENT}>, body string")
+    return pages.select("url", "html").mapInArrow(read, "url string, html string, error string")

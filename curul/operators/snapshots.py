@@ -6,9 +6,9 @@ snapshot, to be written to a new folder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curul.functions.text import row_id
@@ -51,6 +51,38 @@ def upsert(
     return without(existing, fresh, key).unionByName(fresh.select(*columns))
 
 
+def merge_columns(
+    existing: DataFrame, incoming: DataFrame, key: Sequence[str], policy: Mapping[str, str], position: str | None = None
+) -> DataFrame:
+    """Next snapshot of a table whose columns each have a rule of their own, in one join on the key.
+
+    ``replace`` (also for columns without a rule): the incoming value, null or not. ``keep``: an existing row keeps its own.
+    ``fill``: an existing row keeps its value unless that is null. ``known``: the incoming value unless that is null. Rows that
+    nothing comes in for pass through; the last of several incoming rows by ``position`` decides. Nulls in the key are equal.
+    """
+    unknown = set(policy) - set(existing.columns)
+    if unknown or set(policy.values()) - {"replace", "keep", "fill", "known"}:
+        raise ValueError(f"no such column or rule: {sorted(unknown) or dict(policy)}")
+    columns = existing.columns
+    order = [F.col(position).desc()] if position else [F.col(c).asc() for c in incoming.columns if c not in key] or [F.lit(1).asc()]
+    fresh = best_per_key(incoming, key, order)
+    condition = F.lit(True)
+    for k in key:
+        condition = condition & F.col(f"_old.{k}").eqNullSafe(F.col(f"_new.{k}"))
+    old, new = existing.select(F.struct(*columns).alias("_old")), fresh.select(F.struct(*columns).alias("_new"))
+
+    def value(column: str) -> Column:
+        mine, theirs = F.col(f"_old.{column}"), F.col(f"_new.{column}")
+        rule = "replace" if column in key else policy.get(column, "replace")
+        if rule == "keep":
+            return F.when(F.col("_old").isNotNull(), mine).otherwise(theirs)
+        if rule == "replace":
+            return F.when(F.col("_new").isNotNull(), theirs).otherwise(mine)
+        return F.coalesce(mine, theirs) if rule == "fill" else F.coalesce(theirs, mine)
+
+    return old.join(new, condition, "full_outer").select(*[value(c).alias(c) for c in columns])
+
+
 def upsert_outcomes(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Per incoming key: inserted or updated."""
     fresh = incoming.select(*key).distinct()

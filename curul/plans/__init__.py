@@ -4,6 +4,7 @@ from curul.plans import (  # noqa: F401
     audit_queries,
     author_queries,
     event_queries,
+    load_queries,
     page_queries,
     search_queries,
     text_queries,

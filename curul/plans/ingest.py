@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curul.functions import names, status, urls
+from curul.functions.commissions import raw_commission_text
 from curul.functions.text import metadata_text, normalize_text, row_id, sha256
 from curul.operators import events as event_ops
-from curul.operators import extraction
+from curul.operators import extraction, quarantine
 from curul.operators.keyed import best_per_key
 from curul.operators.links import ranked_links, rebalanced_links
 from curul.operators.matching import match_existing
-from curul.operators.snapshots import find_or_create, replace_children, upsert
+from curul.operators.snapshots import find_or_create, merge_columns, replace_children, upsert
 from curul.schema import NATURAL_KEYS
 from curul.session import durable
+from curul.sources import scans
 
 # --- fixed values: how each source is loaded --------------------------------------------------
 RECORD_TYPES = {
@@ -31,13 +33,22 @@ HASH_NAMES = {
     "senado_transparencia": "senado_dedupe_hash",
 }
 REPLACES_AUTHORS = ("gaceta_senado", "senado_transparencia")
+# Columns of an initiative that a source does not set; all others it replaces.
+COLUMN_RULES = {
+    "sil": {"last_major_event_at": "keep"},
+    "gaceta_diputados": {"matter_topic": "keep"},
+    "gaceta_senado": {"matter_topic": "keep", "last_major_event_at": "keep"},
+    "senado_transparencia": {"matter_topic": "keep", "last_major_event_at": "keep"},
+}
+# The open-data dumps are loaded as records of the senate's transparency source.
+DUMPS = {"senado_transparencia": "senado_transparencia", "senado_datos_abiertos": "senado_transparencia"}
 # --- end of fixed values ----------------------------------------------------------------------
 
 TABLES = {
     "sources": "id string, system string, name string, base_url string, priority int",
     "initiatives": "id string, canonical_title string, title_normalized string, summary string, matter_topic string, "
     "originating_chamber string, current_chamber string, normalized_status string, raw_status string, "
-    "presented_at date, last_major_event_at timestamp, metadata map<string,string>",
+    "presented_at date, last_major_event_at timestamp, metadata map<string,string>, created_at timestamp",
     "source_records": "id string, source_id string, record_type string, source_record_key string, source_url string, "
     "content_hash string, status string",
     "initiative_source_links": "id string, initiative_id string, source_record_id string, source_title string, "
@@ -50,6 +61,8 @@ TABLES = {
     "documents": "id string, initiative_id string, source_id string, document_kind string, source_url string, sha256 string",
     "commissions": "id string, name string, name_normalized string, chamber string",
     "initiative_commissions": "initiative_id string, commission_id string, relation_type string, assigned_at timestamp",
+    "rejected_inputs": "id string, source_id string, source_url string, source_record_key string, outcome string, reason string, "
+    "raw string, content_hash string, seen_at timestamp",
 }
 
 
@@ -59,13 +72,17 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def parse(pages: DataFrame, source: str) -> DataFrame:
-    """Records of a source's stored pages."""
+    """Records of a source's stored pages (``url``, ``html``) or dumps (``url``, ``text``)."""
+    if source in DUMPS:
+        return _dump_records(dump_rows(pages, source), source)
     if source == "gaceta_senado":
         return extraction.senate_records(pages)
     if source == "gaceta_diputados":
         listed = pages.filter(F.lower("url").rlike(r"_inis\.html|/base/inis/|indice|gp_iniciativas"))
         single = pages.filter(~F.lower("url").rlike(r"_inis\.html|/base/inis/|indice|gp_iniciativas"))
         return extraction.chamber_list_records(listed).unionByName(extraction.chamber_page_records(single))
+    if source != "sil":
+        raise ValueError(f"unknown source {source}")
     detail_page = F.contains("url", F.lit("pp_ContenidoAsuntos"))
     results = extraction.results_records(pages.filter(urls.is_results_page("url")))
     details = extraction.detail_records(pages.filter(detail_page))
@@ -73,6 +90,38 @@ def parse(pages: DataFrame, source: str) -> DataFrame:
     return extraction.merge_details(results, details).unionByName(generic)
 
 
+def dump_rows(dumps: DataFrame, source: str) -> DataFrame:
+    """Rows of the dumps that are valid JSON."""
+    sound = dumps.filter(dump_error(source).isNull())
+    if source == "senado_transparencia":
+        return scans.envelope_rows(sound, "text", "url", keep=extraction.is_senate_initiative)
+    return scans.embedded_rows(sound, "text", "url").filter(F.col("error").isNull())
+
+
+def _dump_records(rows: DataFrame, source: str) -> DataFrame:
+    return extraction.transparency_records(rows) if source == "senado_transparencia" else extraction.open_data_records(rows)
+
+
+def dump_error(source: str) -> Column:
+    """Why the ``text`` of a dump cannot be read; null where it can."""
+    return scans.envelope_error("text") if source == "senado_transparencia" else scans.embedded_error("text")
+
+
+def read(inputs: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """Records that can be loaded, and what was rejected (failed or skipped) with the reason and the raw text.
+
+    The records are kept on durable storage, as the rejects are what is left without them.
+    """
+    if source in DUMPS:
+        rows = durable(dump_rows(inputs, source))
+        name = "source_json_url" if source == "senado_transparencia" else "source_label"
+        good, broken = quarantine.split_records(_dump_records(rows, source))
+        return good, broken.unionByName(quarantine.rejected_texts(inputs, dump_error(source), rows.select(F.col(name).alias("url"))))
+    records = durable(parse(inputs, source))
+    good, broken = quarantine.split_records(records)
+    return good, broken.unionByName(quarantine.rejected_pages(inputs, records))
+
+
 def content_hash(records: DataFrame) -> Column:
     """SHA-256 of all that was read from a record: another status, summary or author is another content."""
     kinds = {f.name: f.dataType.typeName() for f in records.schema}
@@ -107,12 +156,15 @@ def identified(records: DataFrame, initiatives: DataFrame, source: str) -> DataF
     )
 
 
-def load(records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The next snapshot of every table, and the run's counters.
+def load(
+    records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts: str, rejected: DataFrame | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The next snapshot of every table, and the run's counters: inserted and updated, and of ``rejected`` inputs skipped and failed.
 
     The matched records feed every table and the derived events four of them, so both are kept
     on durable storage once.
     """
+    source = DUMPS.get(source, source)
     out = dict(tables)
     source_id = tables["sources"].filter(F.col("system") == source).select("id").scalar()
     rows = durable(
@@ -124,7 +176,7 @@ def load(records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts:
     )
     derived = durable(_derived(rows, source, run_ts))
     made = _events(derived)
-    out["initiatives"] = _initiatives(rows, made, tables["initiatives"], source)
+    out["initiatives"] = _initiatives(rows, made, tables["initiatives"], source, run_ts)
     out["source_records"] = upsert(
         tables["source_records"],
         rows.select(
@@ -152,7 +204,37 @@ def load(records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts:
         out["documents"] = upsert(tables["documents"], pages, NATURAL_KEYS["documents"], preserve=["id"])
     if source == "gaceta_diputados":
         out["commissions"], out["initiative_commissions"] = _commissions(made, tables)
-    return out, event_ops.outcome_counts(rows)
+    outcomes = rows.select("outcome")
+    if rejected is not None:
+        rejected = durable(rejected)
+        out["rejected_inputs"] = _rejected(rejected, tables["rejected_inputs"], source_id, run_ts)
+        outcomes = outcomes.unionByName(rejected.select("outcome"))
+    return out, event_ops.outcome_counts(outcomes)
+
+
+def _rejected(rejected: DataFrame, existing: DataFrame, source_id: Column, run_ts: str) -> DataFrame:
+    """Each rejected input once, as it was first seen."""
+    fresh = rejected.withColumn("source_id", source_id).withColumn("seen_at", F.lit(run_ts).cast("timestamp"))
+    key = NATURAL_KEYS["rejected_inputs"]
+    return upsert(existing, fresh.withColumn("id", row_id(*key)), key, mode="keep")
+
+
+def audited(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Loaded tables under the names that audit, clusters, details and search read."""
+    authors = F.coalesce(*[metadata_text("metadata", k) for k in ("senadores_raw", "cargo_proponente", "authors_raw")])
+    initiatives = tables["initiatives"].withColumns({
+        "parser": metadata_text("metadata", "parser"),
+        "raw_commissions": raw_commission_text("metadata"),
+        "has_raw_authors": authors.isNotNull(),
+    })
+    records = tables["source_records"].withColumnRenamed("id", "source_record_id")
+    links = tables["initiative_source_links"].withColumnRenamed("id", "link_id")
+    return {
+        **tables,
+        "initiatives": initiatives,
+        "legislative_events": tables["legislative_events"].withColumnRenamed("id", "event_id"),
+        "ranked_links": ranked_links(links, records, tables["sources"].withColumnRenamed("id", "source_id")),
+    }
 
 
 def _derived(rows: DataFrame, source: str, run_ts: str) -> DataFrame:
@@ -173,14 +255,15 @@ def _events(derived: DataFrame) -> DataFrame:
     return best_per_key(derived, ["initiative_id", "event_hash"], order).drop("source_record_id")
 
 
-def _initiatives(rows: DataFrame, made: DataFrame, existing: DataFrame, source: str) -> DataFrame:
+def _initiatives(rows: DataFrame, made: DataFrame, existing: DataFrame, source: str, run_ts: str) -> DataFrame:
+    """Initiatives whose columns follow the source's rules; the time of creation stays."""
     fresh = rows.select(
         F.col("initiative_id").alias("id"), "canonical_title", "title_normalized", "summary",
         (metadata_text("metadata", "topic") if source == "sil" else F.lit(None).cast("string")).alias("matter_topic"),
         F.col("chamber_id").alias("originating_chamber"), F.col("chamber_id").alias("current_chamber"),
         status.record_status("raw_status", "presented_at", source).alias("normalized_status"),
         "raw_status", "presented_at", F.lit(None).cast("timestamp").alias("last_major_event_at"), "metadata",
-        F.col("source_record_key").alias("_order"),
+        F.lit(run_ts).cast("timestamp").alias("created_at"), F.col("source_record_key").alias("_order"),
     )
     if source == "gaceta_diputados":
         state = event_ops.derived_status(made).withColumnRenamed("initiative_id", "id")
@@ -188,7 +271,7 @@ def _initiatives(rows: DataFrame, made: DataFrame, existing: DataFrame, source:
             fresh.drop("last_major_event_at").join(state, "id", "left")
             .withColumn("normalized_status", event_ops.status_or_default("last_status", "presented_at"))
         )
-    return upsert(existing, fresh, ["id"], position="_order")
+    return merge_columns(existing, fresh, ["id"], {"created_at": "keep", **COLUMN_RULES[source]}, position="_order")
 
 
 def _links(rows: DataFrame, out: dict[str, DataFrame], source: str) -> DataFrame:

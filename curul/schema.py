@@ -118,6 +118,7 @@ NATURAL_KEYS: dict[str, tuple[str, ...]] = {
     "initiative_source_links": ("initiative_id", "source_record_id"),
     "event_source_links": ("legislative_event_id", "source_record_id"),
     "document_source_links": ("document_id", "source_record_id"),
+    "rejected_inputs": ("source_id", "source_url", "source_record_key", "content_hash"),
 }
 
 

@@ -116,6 +116,21 @@ def envelope_rows(
     )
 
 
+def envelope_error(text: Column | str, row: T.StructType = TRANSPARENCY_ROW) -> Column:
+    """Why an envelope text cannot be read: it is no valid JSON, or has no ``data``."""
+    schema = T.StructType([T.StructField("data", T.ArrayType(row)), T.StructField("_broken", T.StringType())])
+    parsed = F.from_json(as_col(text), schema, {"columnNameOfCorruptRecord": "_broken"})
+    return F.when(parsed.isNull() | parsed["_broken"].isNotNull(), "no valid JSON").when(parsed["data"].isNull(), "no data")
+
+
+def embedded_error(text: Column | str) -> Column:
+    """Why no JSON array can be read from a text."""
+    body = as_col(text)
+    start, last = F.instr(body, "[{"), F.instr(F.reverse(body), "]}")
+    payload = body.substr(start, F.length(body) - last - start + 2)
+    return F.when((start == 0) | (last == 0), "no JSON array").when(F.try_parse_json(payload).isNull(), "no valid JSON")
+
+
 def embedded_rows(
     df: DataFrame,
     text: Column | str,

@@ -73,12 +73,13 @@ def stream_source(
     snapshots: Snapshots,
     checkpoint: str,
     run_ts: str,
-    parse: Callable[[DataFrame, str], DataFrame] = ingest.parse,
+    read: Callable[[DataFrame, str], tuple[DataFrame, DataFrame]] = ingest.read,
 ) -> StreamingQuery:
-    """Load every new page of a source, batch by batch, until the landing folder is read."""
+    """Load every new page of a source, batch by batch, until the landing folder is read; rejected pages go to their own table."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        tables, _ = ingest.load(parse(batch, source), snapshots.read(batch_id), source, run_ts)
+        records, rejected = read(batch, source)
+        tables, _ = ingest.load(records, snapshots.read(batch_id), source, run_ts, rejected)
         snapshots.write(batch_id + 1, tables)
 
     return (
