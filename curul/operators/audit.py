@@ -14,6 +14,8 @@ from curul.functions.commissions import actionable_commission_text
 from curul.functions.status import compare_status, status_rank
 from curul.functions.text import normalize_text
 from curul.operators.clusters import duplicate_clusters, keyed_authors, variant_clusters
+from curul.operators.keyed import best_per_key
+from curul.session import durable
 
 # --- fixed values: the scorecard's checks -----------------------------------------------------
 SCORECARD = (
@@ -227,6 +229,58 @@ def check_counts(profiled: DataFrame, initiatives: DataFrame, authors: DataFrame
     ).unionByName(total(variant_clusters(keyed_authors(authors)), "authorVariantClusters"))
 
 
+def findings(profiled: DataFrame, initiatives: DataFrame, authors: DataFrame) -> DataFrame:
+    """Every violation of every check: (check_key, subject, title, detail, presented_at).
+
+    The profile is read once: a row goes to as many checks as it violates. The two checks on clusters have a row per cluster.
+    """
+    text = lambda *parts: F.concat_ws(" / ", *[F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts])
+    mismatch = text("normalized_status", "latest_event_status")
+    details = {
+        "statusEventMismatches": mismatch,
+        "statusAheadOfEvents": mismatch,
+        "statusBehindEvents": mismatch,
+        "presentationEventGaps": text("parser", "presented_at"),
+        "commissionNormalizationGaps": text("parser", "actionable_commissions"),
+        "sourceConflicts": F.array_join("systems", ","),
+        "primarySourceAnomalies": text("primary_count", "recommended_system", "primary_system"),
+    }
+    held = [
+        F.when(condition, F.struct(F.lit(key).alias("check_key"), details[key].alias("detail")))
+        for key, condition in conditions().items()
+    ]
+    per_initiative = profiled.select(
+        F.col("id").cast("string").alias("subject"), F.col("canonical_title").alias("title"), "presented_at",
+        F.explode(F.filter(F.array(*held), lambda h: h.isNotNull())).alias("h"),
+    ).select("h.check_key", "subject", "title", "h.detail", "presented_at")
+    none = F.lit(None).cast("date").alias("presented_at")
+    doubles = duplicate_clusters(initiatives).select(
+        F.lit("duplicateInitiativeClusters").alias("check_key"), F.col("match_key").alias("subject"), F.lit("").alias("title"),
+        F.col("cluster_size").cast("string").alias("detail"), none,
+    )
+    variants = variant_clusters(keyed_authors(authors)).select(
+        F.lit("authorVariantClusters").alias("check_key"), F.col("cluster_key").alias("subject"), F.lit("").alias("title"),
+        F.col("n_authors").cast("string").alias("detail"), none,
+    )
+    return per_initiative.unionByName(doubles).unionByName(variants)
+
+
+def report(profiled: DataFrame, initiatives: DataFrame, authors: DataFrame) -> DataFrame:
+    """The whole audit: (check_key, count, rank, subject, title, detail), the first twenty rows of each check, latest first, then by subject.
+
+    The violations are written once; their number combines before the exchange, and no more than twenty rows of a check leave
+    a task for its sample. A check without violations has one row without a rank.
+    """
+    found = durable(findings(profiled, initiatives, authors))
+    keys = [*conditions(), "duplicateInitiativeClusters", "authorVariantClusters"]
+    every = found.sparkSession.createDataFrame([(k,) for k in keys], "check_key string")
+    counted = found.groupBy("check_key").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("presented_at").desc_nulls_last(), F.col("subject").asc()]
+    first = best_per_key(found, ["check_key"], order, SAMPLE_ROWS, rank="rank").drop("presented_at")
+    rows = every.join(counted, "check_key", "left").join(first, "check_key", "left")
+    return rows.select("check_key", F.coalesce("n", F.lit(0)).alias("count"), "rank", "subject", "title", "detail")
+
+
 def sample(rows: DataFrame, *order) -> DataFrame:
     """First rows of a check in a stated order."""
     return rows.orderBy(*order).limit(SAMPLE_ROWS)

@@ -193,6 +193,33 @@ def primary_anomalies(spark: SparkSession, folder: str) -> DataFrame:
     return audit.primary_anomalies(profile(spark, folder))
 
 
+ALL_CHECKS_SQL = CHECKS_SQL.rsplit("checks AS (", 1)[0] + """
+found AS (
+ SELECT unnest(CASE direction WHEN 'ahead' THEN ['statusEventMismatches', 'statusAheadOfEvents'] WHEN 'behind' THEN ['statusEventMismatches', 'statusBehindEvents']
+   ELSE ['statusEventMismatches'] END) AS check_key, CAST(m.initiative_id AS VARCHAR) AS subject, m.canonical_title AS title,
+   concat(initiative_status, ' / ', latest_event_status) AS detail, i.presented_at FROM mismatch m JOIN st_initiatives i ON i.id = m.initiative_id
+ UNION ALL SELECT 'presentationEventGaps', CAST(initiative_id AS VARCHAR), canonical_title, concat(parser, ' / ', presented_at), presented_at FROM gaps
+ UNION ALL SELECT 'commissionNormalizationGaps', CAST(initiative_id AS VARCHAR), c.canonical_title, concat(c.parser, ' / ', commission_raw), i.presented_at
+   FROM cgaps c JOIN st_initiatives i ON i.id = c.initiative_id
+ UNION ALL SELECT 'sourceConflicts', CAST(initiative_id AS VARCHAR), c.canonical_title, systems, i.presented_at FROM conflicts c JOIN st_initiatives i ON i.id = c.initiative_id
+ UNION ALL SELECT 'primarySourceAnomalies', CAST(initiative_id AS VARCHAR), a.canonical_title,
+   concat(primary_count, ' / ', recommended_system, ' / ', coalesce(primary_system, '-')), i.presented_at FROM anomalies a JOIN st_initiatives i ON i.id = a.initiative_id
+ UNION ALL SELECT 'duplicateInitiativeClusters', match_key, '', CAST(cluster_size AS VARCHAR), NULL FROM dup
+ UNION ALL SELECT 'authorVariantClusters', cluster_key, '', CAST(n_authors AS VARCHAR), NULL FROM variants),
+placed AS (SELECT *, row_number() OVER (PARTITION BY check_key ORDER BY presented_at DESC NULLS LAST, subject) AS rank,
+  count(*) OVER (PARTITION BY check_key) AS n FROM found)
+SELECT k.check_key, coalesce(n, 0) AS count, CAST(rank AS INTEGER) AS rank, subject, title, detail
+FROM (VALUES ('statusEventMismatches'), ('statusAheadOfEvents'), ('statusBehindEvents'), ('presentationEventGaps'), ('commissionNormalizationGaps'),
+  ('sourceConflicts'), ('primarySourceAnomalies'), ('duplicateInitiativeClusters'), ('authorVariantClusters')) k(check_key)
+LEFT JOIN (SELECT * FROM placed WHERE rank <= 20) p USING (check_key)"""
+
+
+@query(ALL_CHECKS_SQL)
+def quality_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Count and first rows of all nine checks in one pass over the profile."""
+    return audit.report(profile(spark, folder), stage(spark, folder, "st_initiatives"), staged.authors(spark, folder))
+
+
 # ---- source links ----------------------------------------------------------------------------
 
 

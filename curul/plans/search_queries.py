@@ -181,6 +181,26 @@ def embedded_author(spark: SparkSession, folder: str) -> DataFrame:
     return search.embedded_author(staged.authors(spark, folder), "Iniciativas de José Núñez sobre agua")
 
 
+# Conversation turns as requests: some name an author in full, some by parts of words, some not at all.
+REQUESTS_SQL = """SELECT concat(conv_id, '-', turn) AS request_id, CASE conv_id % 4 WHEN 0 THEN concat(text, ' Sen. José Núñez ', w, ' agua') WHEN 1 THEN concat('jose nun ', text)
+ WHEN 2 THEN concat('ez ', w, ' ', text, ' José Núñez') ELSE text END AS request
+FROM (SELECT *, translate(CAST(conv_id AS STRING), '0123456789', 'bcdfghjkmn') AS w FROM conversations) c"""
+
+
+@query(
+    f"""WITH req AS ({REQUESTS_SQL}), wl AS (SELECT request_id, list_filter(string_split({sql_norm('request')}, ' '), lambda x: x <> '') AS ws FROM req),
+ places AS (SELECT request_id, ws, unnest(range(len(ws) - 1)) AS p FROM wl WHERE len(ws) > 1),
+ runs AS (SELECT request_id, size, p, array_to_string(ws[p + 1 : p + size], ' ') AS run FROM places, (VALUES (2), (3), (4)) z(size) WHERE p + size <= len(ws)),
+ known AS (SELECT run FROM (SELECT DISTINCT run FROM runs) r WHERE EXISTS (SELECT 1 FROM st_authors a WHERE contains(lower(full_name), run) OR contains(lower(name_normalized), run))),
+ best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY size DESC, p) AS rn FROM runs WHERE run IN (SELECT run FROM known))
+ SELECT request_id, run AS author, array_to_string(list_concat(ws[1 : p], ws[p + size + 1 :]), ' ') AS rest FROM best JOIN wl USING (request_id) WHERE rn = 1"""
+)
+def embedded_authors(spark: SparkSession, folder: str) -> DataFrame:
+    """The authors that a whole table of requests names."""
+    view = REQUESTS_SQL.replace("FROM conversations", f"FROM parquet.`{folder}/conversations.parquet`")
+    return search.embedded_authors(spark.sql(view), staged.authors(spark, folder), "request_id", "request")
+
+
 @query(
     f"""WITH toks AS (SELECT doc_id, unnest({_tokens_sql('text')}) AS term FROM documents)
  SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM toks GROUP BY 1"""
