@@ -26,7 +26,7 @@ SHINGLE = 5
 LEAST = 85
 #: Minima in a signature, at most, and the chances at which the bands and the signatures lose a pair that just reaches the limit.
 MINIMA, UNMET, UNLIKE = 126, 6e-5, 1e-4
-#: Places of the bitmap that keeps texts without a candidate from being shuffled: 2 MB.
+#: 2^24 places of the bitmap that keeps texts without a candidate from being shuffled: 262,144 words of 64 at most.
 FILTER_BITS = 24
 
 
@@ -140,24 +140,14 @@ def holding(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFra
     """The rows of ``docs`` whose doc_id is among ``ids``; the others stay where they are read.
 
     A bitmap of 2^bits places, whatever the number of ids, passes the rows whose id may be there; only these are shuffled for the exact
-    join. With ids many times the bitmap's places it passes all rows and the join does all the work: the result is the same.
+    join. It is broadcast as words of 64 places, 2^(bits - 6) rows at most. With ids many times its places it passes all rows and the
+    join does all the work: the result is the same.
     """
     place = lambda key: F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
     marks = ids.select(place("id").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set"))
-    held = marks.toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    bitmap[held["word"].to_numpy()] = held["set"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value.view(np.uint64)
-        for batch in batches:
-            at = batch.column(2).to_numpy().view(np.uint64)
-            yield batch.select([0, 1]).filter(pa.array(((words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1)).astype(bool)))
-
-    keyed = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    near = keyed.withColumn("at", place("doc_id")).mapInArrow(passing, "doc_id long, text string")
-    return near.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("at", place("doc_id"))
+    near = keyed.join(F.broadcast(marks), F.shiftright("at", 6) == F.col("word")).where("(shiftrightunsigned(set, CAST(at & 63 AS INT)) & 1) = 1")
+    return near.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
 
 def agreeing(pairs: DataFrame, signs: DataFrame, places: int) -> DataFrame:
