@@ -670,11 +670,11 @@ def mapped(records: DataFrame) -> DataFrame:
     return records.withColumnsRenamed(renamed).withColumn("presented_at", dates.as_date("presented_at"))
 
 
-def unparsed_pages(pages: DataFrame, records: DataFrame) -> DataFrame:
-    """Pages that gave no record, kept with the hash of their body."""
+def unparsed_pages(pages: DataFrame, records: DataFrame, *keep: str) -> DataFrame:
+    """Pages that gave no record, each row kept with the hash of its own body and the columns ``keep``."""
     parsed = records.select(F.col("source_url").alias("url")).distinct()
     return pages.join(parsed, "url", "left_anti").select(
-        F.col("url").alias("source_url"), F.col("url").alias("source_record_key"), sha256("html").alias("content_hash"), "html"
+        F.col("url").alias("source_url"), F.col("url").alias("source_record_key"), sha256("html").alias("content_hash"), "html", *keep
     )
 
 

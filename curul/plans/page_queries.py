@@ -275,8 +275,7 @@ def senate_records(spark: SparkSession, folder: str) -> DataFrame:
 def unparsed_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages without results rows, kept with their hash."""
     rows = pages(spark, folder)
-    left = extraction.unparsed_pages(rows, extraction.results_records(rows))
-    return rows.join(left.select(F.col("source_url").alias("url"), "content_hash"), "url").select("page_id", "content_hash").distinct()
+    return extraction.unparsed_pages(rows, extraction.results_records(rows), "page_id").select("page_id", "content_hash")
 
 
 # ---- JSON texts ------------------------------------------------------------------------------
