@@ -344,7 +344,8 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages table read as a stream, each (address, content) once."""
     work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, folder, "pages").schema
-    stream = landed_pages(spark, folder, schema, "pages.parquet").withColumn(
+    # A pattern, as a stream takes a path without one for a folder: the table may be one file or a folder of files.
+    stream = landed_pages(spark, f"{folder}/pages.parque[t]", schema).withColumn(
         "fetched_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))
     )
     run = (
@@ -356,7 +357,7 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
         .start(f"{work}/pages")
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{work}/pages")
+    return spark.read.schema("url string, content_hash string").parquet(f"{work}/pages")
 
 
 # ---- discovery and loading -------------------------------------------------------------------

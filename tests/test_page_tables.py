@@ -22,3 +22,8 @@ def digest(html):
 def test_unparsed_pages_keep_their_own_hash(spark, folder):
     rows = sorted(tuple(r) for r in QUERIES["unparsed_pages"](spark, folder).collect())
     assert rows == [(page, digest(html)) for page, _, html in ROWS]
+
+
+def test_stream_reads_a_folder_of_files(spark, folder):
+    rows = {tuple(r) for r in QUERIES["stream_pages"](spark, folder).collect()}
+    assert rows == {(url, digest(html)) for _, url, html in ROWS}
