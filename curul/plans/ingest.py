@@ -115,7 +115,8 @@ def read(inputs: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     if source in DUMPS:
         rows = durable(dump_rows(inputs, source))
         name = "source_json_url" if source == "senado_transparencia" else "source_label"
-        good, broken = quarantine.split_records(_dump_records(rows, source))
+        # Kept as well, or every later step works each value out of the row again, once for every use.
+        good, broken = quarantine.split_records(durable(_dump_records(rows, source)))
         return good, broken.unionByName(quarantine.rejected_texts(inputs, dump_error(source), rows.select(F.col(name).alias("url"))))
     records = durable(parse(inputs, source))
     good, broken = quarantine.split_records(records)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from curul.functions.text import as_col, normalize_text, row_id
 from curul.functions.urls import local_file_url
+from curul.operators.keyed import bound
 from curul.schema import SOURCES_SEED
 
 # --- fixed values: fields of the two JSON dumps (the misspelt title field is the source's own) --
@@ -143,21 +144,22 @@ def embedded_rows(
     A text without such bounds, or whose array is no valid JSON, yields one row with ``error``
     set; ``strict`` stops instead.
     """
-    body = as_col(text)
-    start = F.instr(body, "[{")
-    end = F.length(body) - F.instr(F.reverse(body), "]}")
-    bounded = (start > 0) & (F.instr(F.reverse(body), "]}") > 0)
+    # The text may be a costly expression and its rows are asked for several times: each step is evaluated once.
+    held = bound(df.select(as_col(label).alias("source_label"), as_col(text).alias("_given")), _body=F.col("_given")).drop("_given")
+    start = F.instr("_body", "[{")
+    end = F.length("_body") - F.instr(F.reverse("_body"), "]}")
+    bounded = (start > 0) & (F.instr(F.reverse("_body"), "]}") > 0)
+    held = bound(held, _payload=F.when(bounded, F.col("_body").substr(start, end - start + 2))).drop("_body")
     # Permissive parsing turns a broken array into one record of nulls, so validity is asked apart.
-    payload = body.substr(start, end - start + 2)
-    parsed = F.when(
-        bounded & F.try_parse_json(payload).isNotNull(), F.from_json(payload, T.ArrayType(row))
-    )
-    message = F.concat(F.lit("no JSON array in "), as_col(label))
+    payload = F.col("_payload")
+    parsed = F.when(F.try_parse_json(payload).isNotNull(), F.from_json(payload, T.ArrayType(row)))
+    message = F.concat(F.lit("no JSON array in "), F.col("source_label"))
     if strict:
         parsed = F.coalesce(parsed, F.raise_error(message).cast(T.ArrayType(row)))
-    rows = F.filter(parsed, lambda r: normalize_text(F.coalesce(r["tipo"], F.lit(""))) == "iniciativa")
+    held = bound(held, _parsed=parsed)
+    rows = F.filter("_parsed", lambda r: normalize_text(F.coalesce(r["tipo"], F.lit(""))) == "iniciativa")
     return (
-        df.select(as_col(label).alias("source_label"), rows.alias("rows"), F.when(parsed.isNull(), message).alias("error"))
+        held.select("source_label", rows.alias("rows"), F.when(F.col("_parsed").isNull(), message).alias("error"))
         .select("source_label", "error", F.posexplode_outer("rows").alias("row_index", "row"))
         .filter(F.col("row").isNotNull() | F.col("error").isNotNull())
     )

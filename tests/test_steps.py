@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from curul.operators.matching import match_existing
 from curul.plans import ingest
 from curul.session import durable
+from curul.sources import scans
 
 
 def test_durable_rows_are_compressed_columns(spark):
@@ -22,3 +23,10 @@ def test_matching_with_empty_tables_joins_nothing(spark):
     )
     found = match_existing(records, ingest.empty_tables(spark)["initiatives"], "gaceta_diputados")
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_costly_text_is_evaluated_once(spark):
+    texts = spark.createDataFrame([('x [{"id":"1","tipo":"Iniciativa"}] y', "a")], "raw string, label string")
+    rows = scans.embedded_rows(texts, F.regexp_replace("raw", "x ", "z "), "label")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(raw") == 1
+    assert [(r["source_label"], r["row_index"], r["row"]["id"], r["error"]) for r in rows.collect()] == [("a", 0, "1", None)]
