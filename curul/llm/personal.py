@@ -222,21 +222,22 @@ class Model:
         return out.drop("_vector", "rawPrediction", "probability", "prediction")
 
 
-def labelled(scanned: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` proved or refuted candidates, one of each writing, those of the smallest hash; a fifth is held out."""
+def labelled(scanned: DataFrame, sample: int | None = None) -> DataFrame:
+    """All proved or refuted candidates, one of each writing, or the ``sample`` of the smallest hash; a fifth is held out."""
     c = scanned.select(F.explode("more").alias("c")).select("c.kind", "c.plain", "c.proof", "c.features").where("proof is not null")
     one = c.groupBy("kind", "plain", "proof").agg(F.min_by("features", F.xxhash64("features")).alias("features"))
     name = F.xxhash64("kind", "plain")
-    return one.withColumns({"name": name, "held": F.pmod(name, F.lit(5)) == 0}).orderBy("name", "proof").limit(sample)
+    named = one.withColumns({"name": name, "held": F.pmod(name, F.lit(5)) == 0})
+    return named.sortWithinPartitions("name", "proof") if sample is None else named.orderBy("name", "proof").limit(sample)
 
 
-def fit(scanned: DataFrame, scratch: Scratch, sample: int = 20_000, precision: float = 0.95, rounds: int = 12, depth: int = 4) -> Model:
+def fit(scanned: DataFrame, scratch: Scratch, sample: int | None = None, precision: float = 0.95, rounds: int = 12, depth: int = 4) -> Model:
     """Trees trained on four fifths of the labelled candidates, thresholds set on the rest.
 
-    ``sample`` bounds the labelled candidates; all others are judged by the result. A kind's threshold is the
+    ``sample`` may bound the labelled candidates; all others are judged by the result. A kind's threshold is the
     smallest hundredth at which the held-out candidates reach ``precision``, less one standard error, there and above it.
     """
-    rows = scratch.table(labelled(scanned, sample).select("kind", F.col("proof").cast("double").alias("label"), "features", "held").coalesce(8))
+    rows = scratch.table(labelled(scanned, sample).select("kind", F.col("proof").cast("double").alias("label"), "features", "held"))
     if rows.where("not held").agg(F.countDistinct("label")).first()[0] < 2:
         return Model(None, {})
     training = rows.where("not held").select("label", array_to_vector("features").alias("_vector"))
@@ -259,7 +260,7 @@ def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
 
 
-def personal_spans(docs: DataFrame, model: Model | None = None, sample: int = 20_000) -> DataFrame:
+def personal_spans(docs: DataFrame, model: Model | None = None, sample: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): ``base`` and ``spans`` (kind, start, stop), by start, then kind; added kinds are ``boosted_...``.
 
     An added span overlaps no base span and no likelier added one. Positions are code points, the end exclusive. Defined

@@ -103,3 +103,9 @@ def test_whole_table_digest(spark, small):
         want = brute(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for k, _, _ in want) for n in PATTERNS]
+
+
+def test_every_labelled_candidate_is_learnt_from(spark):
+    one = "named_struct('kind', 'ip', 'plain', cast(id as string), 'proof', cast(id % 2 as int), 'features', array(cast(id as double)))"
+    scanned = spark.range(20_050).selectExpr(f"array({one}) AS more")
+    assert personal.labelled(scanned).count() == 20_050
