@@ -44,3 +44,12 @@ def test_a_report_counts_all_and_shows_twenty(spark):
     assert {r["count"] for r in report if r.check_key == "presentationEventGaps"} == {24}
     others = [r for r in report if r.check_key != "presentationEventGaps"]
     assert len(others) == 8 and all(r["count"] == 0 and r["rank"] is None for r in others)
+
+
+def test_name_runs_are_never_broadcast(spark, monkeypatch, capsys):
+    """However small the planner takes the names' runs and the hits for, they are joined by sorting: no driver holds them."""
+    monkeypatch.setattr(search, "durable", lambda df: df)
+    asked = spark.createDataFrame(list(enumerate(REQUESTS)), "place int, words string")
+    search.embedded_authors(asked, authors(spark), "place", "words").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
