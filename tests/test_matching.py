@@ -48,3 +48,14 @@ def test_signals_are_measured(spark):
     two = spark.createDataFrame([("i", *data[0][1:3], "2020-01-01", "senado", ["b"], ["n"])], FIELDS.format("id")).selectExpr("*", "cast(day as date) presented_at").drop("day")
     (row,) = matching.decide(matching.measured_signals(matching.near_candidates(one, two))).collect()
     assert [row[k] for k in matching.WEIGHTS] == pytest.approx([1, 1, 0.5, 1 / 3, 1, 1]) and row.decision == "review"
+
+
+def test_equal_titles_are_compared_once(spark):
+    """Copies of titles give all their pairs, whose similarities come from one comparison of the texts."""
+    side = lambda key, name, n, alias: spark.range(n).selectExpr(f"concat('{name}', id) as {key}", "'Ley de Aguas' as title", f"{alias} as alias", "date'2020-01-01' as presented_at", "'senado' as chamber", "array('a') as authors", "array('n') as norms")
+    pairs = matching.near_candidates(side("record_id", "r", 3, "if(id = 1, null, 'Ley de Agua')"), side("id", "i", 40, "cast(null as string)"))
+    assert {"title_similarity", "alias_similarity"} <= set(pairs.columns)
+    got = matching.measured_signals(pairs).collect()
+    again = matching.measured_signals(pairs.drop("title_similarity", "alias_similarity")).collect()
+    told = lambda rows: sorted((r.record_id, r.id, r.title_similarity, r.alias_similarity) for r in rows)
+    assert len(got) == 120 and told(got) == told(again) and {r.alias_similarity > 0 for r in got} == {True, False}
