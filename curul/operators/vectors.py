@@ -16,6 +16,8 @@ from curul.operators.keyed import best_per_key
 
 #: Query vectors that the tasks hold at once.
 QUERIES_PER_PASS = 1024
+#: Rows whose scores with all of these a task holds at once, whatever the size of an Arrow batch.
+ROWS_AT_ONCE = 1024
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -26,22 +28,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def blocks(places: np.ndarray) -> list[np.ndarray]:
+    return [places[i : i + ROWS_AT_ONCE] for i in range(0, len(places), ROWS_AT_ONCE)]
+
+
 class Best:
     """The k best rows of each query that a task has met so far."""
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.scores, self.keys = np.full((queries, 0), -np.inf), np.zeros((queries, 0), np.int64)
+        self.scores, self.keys = np.full((queries, k), -np.inf), np.zeros((queries, k), np.int64)
 
     def add(self, which: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
         """``scores`` of the queries ``which`` (rows) with the rows ``keys`` (columns)."""
-        width = scores.shape[1]
-        all_scores = np.full((len(self.scores), self.scores.shape[1] + width), -np.inf)
-        all_keys = np.zeros(all_scores.shape, np.int64)
-        all_scores[:, width:], all_keys[:, width:] = self.scores, self.keys
-        all_scores[which, :width], all_keys[which, :width] = scores, keys[None, :]
+        all_scores = np.hstack([scores, self.scores[which]])
+        all_keys = np.hstack([np.broadcast_to(keys, scores.shape), self.keys[which]])
         order = np.lexsort((all_keys, -all_scores), axis=1)[:, : self.k]
-        self.scores, self.keys = np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_keys, order, axis=1)
+        self.scores[which], self.keys[which] = np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_keys, order, axis=1)
 
     def batch(self, ids: np.ndarray, key: str) -> pa.RecordBatch:
         real = np.isfinite(self.scores)
@@ -65,7 +68,8 @@ def _scan(rows: DataFrame, key: str, ids: np.ndarray, queries: np.ndarray, k: in
                 own = lists == one
                 which = np.arange(len(ids)) if asked is None else np.flatnonzero(asked[:, one])
                 if len(which):
-                    best.add(which, queries[which] @ vectors[own].T, names[own])
+                    for some in blocks(np.flatnonzero(own)):
+                        best.add(which, queries[which] @ vectors[some].T, names[some])
         yield best.batch(ids, key)
 
     return rows.mapInArrow(score, f"query_id long, {key} long, score double")
@@ -130,7 +134,8 @@ def write_lists(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                nearest = np.argmax(unit(matrix(batch.column(1))) @ centres.T, axis=1).astype(np.int32)
+                rows_of = unit(matrix(batch.column(1)))
+                nearest = np.concatenate([np.argmax(rows_of[some] @ centres.T, axis=1) for some in blocks(np.arange(len(rows_of)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest)], names=[key, "vector", "list"])
 
     placed = rows.mapInArrow(assign, f"{key} long, vector array<double>, list int")
