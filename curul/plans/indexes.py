@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curul.operators import vectors
 from curul.operators.index import TextIndex, write_index
+from curul.operators.keyed import spread
 from curul.plans import staged
 from curul.session import shared_folder
 from curul.sources.scans import table
@@ -36,9 +37,11 @@ def place_of(spark: SparkSession, rows: DataFrame, name: str) -> str:
 
 
 def _text_index(spark: SparkSession, rows: DataFrame, name: str, key: str, text: str, grams: bool = True) -> TextIndex:
+    """An index of texts; short ones, whose trigrams are listed too, come from small files and are dealt over the tasks first."""
     path = place_of(spark, rows, name)
     if not _exists(spark, f"{path}/figures/_SUCCESS"):  # the last table written
-        write_index(rows.select(key, text), key, text, path, grams)
+        texts = rows.select(key, text)
+        write_index(spread(texts, key) if grams else texts, key, text, path, grams)
     return TextIndex(spark, path)
 
 

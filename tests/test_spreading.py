@@ -3,7 +3,7 @@
 import pytest
 
 from curul.functions.html import with_elements
-from curul.plans import page_queries, text_queries
+from curul.plans import indexes, page_queries, text_queries
 
 
 @pytest.mark.parametrize("staged", [page_queries.popup_pages, page_queries.senate_pages, page_queries.results_pages, page_queries.gazette_pages, text_queries._signatures])
@@ -18,3 +18,12 @@ def test_only_asked_elements_are_described(spark):
     assert set(whole) == {"li", "a", "tr", "th", "td"} - {"th"} and whole["a"].container == "uno dos" and whole["tr"].cells == ["a", "b", ""]
     (row,) = with_elements(rows, ["tr"], ["data_cells"]).first().elements
     assert row.tag == "tr" and row.data_cells == ["b", ""] and (row.text, row.cells, row.html) == (None, None, None)
+
+
+def test_short_texts_are_indexed_by_all_tasks(spark, small, monkeypatch, tmp_path):
+    dealt = {}
+    monkeypatch.setattr(indexes, "write_index", lambda rows, key, text, path, grams: dealt.update({key: rows.rdd.getNumPartitions()}))
+    monkeypatch.setattr(indexes, "TextIndex", lambda spark, path: None)
+    monkeypatch.setattr(indexes, "EDITION", str(tmp_path))
+    indexes.titles(spark, small)
+    assert dealt["id"] >= spark.sparkContext.defaultParallelism
