@@ -8,9 +8,10 @@ program. Rounded patterns are handed to documents by their rank within a class,
 
 from __future__ import annotations
 
+import struct
 import zlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 from operator import and_
 
 import numpy as np
@@ -27,15 +28,41 @@ STEP = 8
 END_ID = 1
 WORDS_KEPT = 400_000
 
+#: The character by which a byte-level vocabulary writes each byte: printable ones are themselves, the others follow U+0100.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = "".join(chr(b) if b in _SHOWN else chr(256 + sum(o not in _SHOWN for o in range(b))) for b in range(256))
+
 PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class Known(dict):
+    """Values by key, each worked out when it is first asked for."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        self.work = work
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.work(key)
+        return value
+
+    def trim(self) -> None:
+        """Beyond ``WORDS_KEPT``, all but the eldest go: frequent ones are met early."""
+        if len(self) > WORDS_KEPT:
+            while len(self) > WORDS_KEPT // 4:
+                self.popitem()
+
+
+class BlankAfterSpace(Exception):
+    """A space before white space is no cut between pre-tokens."""
+
+
 class Ids:
     """Ids of a byte-level BPE as little-endian 32-bit bytes.
 
-    Text is split into the vocabulary's pre-tokens, and each distinct pre-token is encoded once; a
-    table of at most ``WORDS_KEPT`` of them is kept, then begun anew. Texts that contain a special
-    token's string go to the tokenizer whole.
+    Text is cut before each space; a cut is also one between pre-tokens where no white space follows it, as a pre-token has
+    a space only in front. Each distinct chunk between cuts is split into the vocabulary's pre-tokens, and each distinct one
+    of these is encoded, once. Tables of at most ``WORDS_KEPT`` of either are kept, and of a text's own. A text with white
+    space after a space is split whole; one that contains a special token's string goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -44,29 +71,49 @@ class Ids:
         import regex
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokens = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.blank = regex.compile(r"\s").match
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.words, self.chunks = Known(self._word), Known(self._chunk)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokens(word.encode().decode("latin-1").translate(BYTE_CHARS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        # Letters alone are one pre-token; later blocks than these are left to the pattern's own tables.
+        if chunk.isalpha() and max(chunk) < "\u0250":
+            return self.words[" " + chunk]
+        if not chunk or chunk[0].isspace() or self.blank(chunk):
+            raise BlankAfterSpace
+        return self._split(" " + chunk)
+
+    def _split(self, text: str) -> bytes:
+        words = self.words
+        return b"".join([words[w] for w in self.split(text)])
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._encode(text)
-        words, known = self.split(text), self.known
+        first, *rest = text.split(" ")
+        chunks = self.chunks
         try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = [w for w in set(words) if w not in known]
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            out = b"".join([known[w] for w in words])
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            return out
+            out = self._split(first) + b"".join([chunks[c] for c in rest])
+        except BlankAfterSpace:
+            out = self._split(text)
+        chunks.trim()
+        self.words.trim()
+        return out
+
+
+@cache
+def ids_of(path: str) -> Ids:
+    """One for a Python worker, whose tasks share what it has encoded."""
+    return Ids(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
@@ -77,10 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        ids, end = Ids(tokenizer), np.array([END_ID], "<u4").tobytes()
+        ids, end = ids_of(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -204,7 +248,7 @@ def remainders(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
     """The last piece of each document with its ids, for the few that are cut once more."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(tokenizer), np.array([END_ID], "<u4").tobytes()
+        ids, end = ids_of(tokenizer), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
