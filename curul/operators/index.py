@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curul.functions.text import as_col, tokens, trigrams
+from curul.functions.text import as_col, let, tokens, trigrams
 from curul.operators.keyed import bound
 from curul.operators.search import AUTHOR_BAR, B, FUZZY_BAR, K1, final_score, normalized, request_terms
 
@@ -54,6 +54,17 @@ def weight(n: str, matching: str) -> str:
     return f"ln(1 + ({n} - {matching} + 0.5D) / ({matching} + 0.5D))"
 
 
+def term_counts(words: Column) -> Column:
+    """Each different word of a list with how often it is there, as (term, tf): a sorted list is read once, nothing is shuffled."""
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        begins = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i < n) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))))
+        return let(begins, lambda at: F.transform(at, lambda i, j: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(words), runs)
+
+
 def write_index(df: DataFrame, key: str, text: Column | str, path: str, grams: bool = True) -> None:
     """Write the index of a table's texts; the key is unique; a null text has no terms and no part in the mean size.
 
@@ -63,28 +74,32 @@ def write_index(df: DataFrame, key: str, text: Column | str, path: str, grams: b
     spark = df.sparkSession
     made = {"_tokens": tokens("_text"), "_grams": trigrams("_text") if grams else F.array().cast("array<string>")}
     rows = bound(df.select(as_col(key).alias("key"), as_col(text).alias("_text")), **made)
-    rows.select("key", F.size("_tokens").alias("size"), F.size("_grams").alias("grams"), "_tokens", "_grams").write.mode("overwrite").parquet(f"{path}/_made")
+    made = rows.select("key", F.size("_tokens").alias("size"), F.size("_grams").alias("grams"), term_counts(F.col("_tokens")).alias("_terms"), "_grams")
+    made.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/_made")
     rows = spark.read.parquet(f"{path}/_made")
     n, mean, words, letters = rows.agg(F.count("*"), F.avg("size"), F.sum("size"), F.sum("grams")).first()
     buckets = max(8, (words or 0) // BUCKET_ROWS, (letters or 0) // BUCKET_ROWS)
     slices, mean = max(1, n // SLICE_ROWS), max(mean or 1.0, 1.0e-9)
-    # A block holds texts of like length, whose contributions are alike.
-    block = F.concat_ws("-", F.floor(F.log2(F.col("size") + 1)), F.pmod(F.xxhash64("key"), F.lit(max(1, n // BLOCK_ROWS))))
-    rows = rows.withColumn("block", F.xxhash64(block))
-    place = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-
-    def written(part: DataFrame, name: str, *order: str) -> None:
-        dealt = part.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(slices))) if "key" in part.columns else part.repartition("bucket")
-        dealt.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-
-    rows.select("key", "size", "grams", "block").write.mode("overwrite").parquet(f"{path}/documents")
-    counted = rows.select("key", "size", "block", F.explode("_tokens").alias("term")).groupBy("term", "block", "key", "size").agg(F.count("*").alias("tf"))
-    written(counted.select(place, "term", "block", "key", "tf", "size"), "postings", "term", "block")
+    # A block holds texts of like length, whose contributions are alike. Small numbers, as every posting has one.
+    parts = max(1, n // BLOCK_ROWS)
+    block = F.floor(F.log2(F.col("size") + 1)) * F.lit(parts) + F.pmod(F.xxhash64("key"), F.lit(parts))
+    block, place = block.cast("long").alias("block"), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def written(part: DataFrame, name: str, *order: str, told: Column | None = None) -> None:
+        """Buckets and ``told`` follow from other columns and are added behind the exchange; columns with a leading _ end there."""
+        dealt = part.repartition(place, F.pmod(F.xxhash64("key"), F.lit(slices))) if "key" in part.columns else part.repartition(place)
+        dealt = dealt.select(place, *(c for c in dealt.columns if c[0] != "_"), *([] if told is None else [told]))
+        dealt.sortWithinPartitions("bucket", *order).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{name}")
+
+    rows.select("key", "size", "grams", block).write.mode("overwrite").parquet(f"{path}/documents")
+    written(rows.select("key", "size", F.explode("_terms").alias("_t")).select("_t.term", "key", "_t.tf", "size"), "postings", "term", "block", told=block)
     lists = read_lists(rows, path, "postings")
-    written(lists.groupBy("bucket", "term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")), "terms", "term")
-    written(lists.groupBy("bucket", "term", "block").agg(F.max(F.expr(share("tf", "size", f"{mean!r}D"))).alias("most")), "bounds", "term")
+    written(lists.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")), "terms", "term")
+    # Half a double is shuffled: a bound is rounded up to single precision, and so stays one.
+    most = (F.expr(share("tf", "size", f"{mean!r}D")) * F.lit(1 + 2.0**-23)).cast("float")
+    written(lists.groupBy("term", "block").agg(F.max(most).alias("_most")), "bounds", "term", told=F.col("_most").cast("double").alias("most"))
     if grams:
-        written(rows.select("key", "grams", F.explode("_grams").alias("term")).select(place, "term", "key", "grams"), "trigrams", "term")
+        written(rows.select("key", "grams", F.explode("_grams").alias("term")), "trigrams", "term")
     spark.createDataFrame([(n, float(mean), int(buckets))], "documents long, mean_size double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
 
 
