@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,58 +160,97 @@ def identified(records: DataFrame, initiatives: DataFrame, source: str) -> DataF
     )
 
 
+class Snapshot(Mapping):
+    """Tables by name. Those that a load changes are planned when they are first asked for, so what nobody reads is not written."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        self._tables, self._plans = dict(tables), {}
+
+    def plan(self, name: str, table: Callable[[], DataFrame]) -> None:
+        self._tables.pop(name, None)
+        self._plans[name] = table
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in self._plans:
+            self._tables[name] = self._plans.pop(name)()
+        return self._tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter([*self._tables, *self._plans])
+
+    def __len__(self) -> int:
+        return len(self._tables) + len(self._plans)
+
+
 def load(
-    records: DataFrame, tables: dict[str, DataFrame], source: str, run_ts: str, rejected: DataFrame | None = None
-) -> tuple[dict[str, DataFrame], DataFrame]:
+    records: DataFrame, tables: Mapping[str, DataFrame], source: str, run_ts: str, rejected: DataFrame | None = None
+) -> tuple[Mapping[str, DataFrame], DataFrame]:
     """The next snapshot of every table, and the run's counters: inserted and updated, and of ``rejected`` inputs skipped and failed.
 
     The matched records feed every table and the derived events four of them, so both are kept
-    on durable storage once.
+    on durable storage once, when the first of these tables is asked for. The counters need the outcome of each record only.
     """
     source = DUMPS.get(source, source)
-    out = dict(tables)
+    out = Snapshot(tables)
     source_id = tables["sources"].filter(F.col("system") == source).select("id").scalar()
-    rows = durable(
-        identified(records, tables["initiatives"], source)
-        .withColumn("source_id", source_id)
-        .withColumn(
-            "source_record_id", row_id("source_id", "record_type", "source_record_key", "content_hash")
-        )
-    )
-    derived = durable(_derived(rows, source, run_ts))
-    made = _events(derived)
-    out["initiatives"] = _initiatives(rows, made, tables["initiatives"], source, run_ts)
-    out["source_records"] = upsert(
-        tables["source_records"],
-        rows.select(
+    matched = identified(records, tables["initiatives"], source)
+
+    @cache
+    def rows() -> DataFrame:
+        known = matched.withColumn("source_id", source_id)
+        return durable(known.withColumn("source_record_id", row_id("source_id", "record_type", "source_record_key", "content_hash")))
+
+    @cache
+    def derived() -> DataFrame:
+        return durable(_derived(rows(), source, run_ts))
+
+    @cache
+    def made() -> DataFrame:
+        return _events(derived())
+
+    @cache
+    def signed() -> tuple[DataFrame, DataFrame]:
+        return _authors(rows(), tables, source)
+
+    @cache
+    def referred() -> tuple[DataFrame, DataFrame]:
+        return _commissions(made(), tables)
+
+    def source_records() -> DataFrame:
+        fresh = rows().select(
             F.col("source_record_id").alias("id"), "source_id", "record_type", "source_record_key", "source_url",
             "content_hash", F.lit("parsed").alias("status"),
-        ),
-        NATURAL_KEYS["source_records"],
-        preserve=["id"],
-    )
-    out["initiative_source_links"] = _links(rows, out, source)
-    out["authors"], out["initiative_authors"] = _authors(rows, tables, source)
-    out["legislative_events"] = upsert(
-        tables["legislative_events"], made, NATURAL_KEYS["legislative_events"], preserve=["id"]
-    )
-    # An event is linked to the records that tell of it, not to all records of its initiative.
-    event_links = derived.select(F.col("id").alias("legislative_event_id"), "source_record_id")
-    out["event_source_links"] = upsert(
-        tables["event_source_links"], event_links.distinct(), NATURAL_KEYS["event_source_links"], mode="keep"
-    )
-    if source == "sil":
-        pages = rows.select(
+        )
+        return upsert(tables["source_records"], fresh, NATURAL_KEYS["source_records"], preserve=["id"])
+
+    def event_source_links() -> DataFrame:
+        # An event is linked to the records that tell of it, not to all records of its initiative.
+        event_links = derived().select(F.col("id").alias("legislative_event_id"), "source_record_id")
+        return upsert(tables["event_source_links"], event_links.distinct(), NATURAL_KEYS["event_source_links"], mode="keep")
+
+    def documents() -> DataFrame:
+        pages = rows().select(
             row_id("source_id", "content_hash").alias("id"), "initiative_id", "source_id",
             F.lit("html_snapshot").alias("document_kind"), "source_url", F.col("content_hash").alias("sha256"),
         )
-        out["documents"] = upsert(tables["documents"], pages, NATURAL_KEYS["documents"], preserve=["id"])
+        return upsert(tables["documents"], pages, NATURAL_KEYS["documents"], preserve=["id"])
+
+    out.plan("initiatives", lambda: _initiatives(rows(), made(), tables["initiatives"], source, run_ts))
+    out.plan("source_records", source_records)
+    out.plan("initiative_source_links", lambda: _links(rows(), {**tables, "source_records": out["source_records"]}, source))
+    out.plan("authors", lambda: signed()[0])
+    out.plan("initiative_authors", lambda: signed()[1])
+    out.plan("legislative_events", lambda: upsert(tables["legislative_events"], made(), NATURAL_KEYS["legislative_events"], preserve=["id"]))
+    out.plan("event_source_links", event_source_links)
+    if source == "sil":
+        out.plan("documents", documents)
     if source == "gaceta_diputados":
-        out["commissions"], out["initiative_commissions"] = _commissions(made, tables)
-    outcomes = rows.select("outcome")
+        out.plan("commissions", lambda: referred()[0])
+        out.plan("initiative_commissions", lambda: referred()[1])
+    outcomes = matched.select("outcome")
     if rejected is not None:
         rejected = durable(rejected)
-        out["rejected_inputs"] = _rejected(rejected, tables["rejected_inputs"], source_id, run_ts)
+        out.plan("rejected_inputs", lambda: _rejected(rejected, tables["rejected_inputs"], source_id, run_ts))
         outcomes = outcomes.unionByName(rejected.select("outcome"))
     return out, event_ops.outcome_counts(outcomes)
 
@@ -220,7 +262,7 @@ def _rejected(rejected: DataFrame, existing: DataFrame, source_id: Column, run_t
     return upsert(existing, fresh.withColumn("id", row_id(*key)), key, mode="keep")
 
 
-def audited(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def audited(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Loaded tables under the names that audit, clusters, details and search read."""
     authors = F.coalesce(*[metadata_text("metadata", k) for k in ("senadores_raw", "cargo_proponente", "authors_raw")])
     initiatives = tables["initiatives"].withColumns({
@@ -277,7 +319,7 @@ def _initiatives(rows: DataFrame, made: DataFrame, existing: DataFrame, source:
     return merge_columns(existing, fresh, ["id"], {"created_at": "keep", **COLUMN_RULES[source]}, position="_order")
 
 
-def _links(rows: DataFrame, out: dict[str, DataFrame], source: str) -> DataFrame:
+def _links(rows: DataFrame, out: Mapping[str, DataFrame], source: str) -> DataFrame:
     existing = out["initiative_source_links"]
     fresh = rows.select(
         row_id("initiative_id", "source_record_id").alias("id"), "initiative_id", "source_record_id",

@@ -48,6 +48,19 @@ def test_rejects_tell_why_and_keep_the_text(spark):
     assert len(seen) == 4 and {str(r.seen_at) for r in seen} == {RUN}
 
 
+def test_only_tables_that_are_read_are_written(spark, monkeypatch):
+    records, rejected = ingest.read(pages(spark, ITEM, None), "gaceta_diputados")
+    written = []
+    durable = ingest.durable
+    monkeypatch.setattr(ingest, "durable", lambda df: written.append(df) or durable(df))
+    tables, counters = ingest.load(records, load_queries.start(spark), "gaceta_diputados", RUN, rejected)
+    assert tables["rejected_inputs"].count() == 1 and counters.count() == 2
+    assert len(written) == 1
+    # The matched records and the derived events are written once each, however many tables they feed.
+    assert set(tables) == set(ingest.TABLES) and all(df.count() >= 0 for df in tables.values())
+    assert len(written) == 3
+
+
 def test_records_without_title_or_key_are_kept_apart(spark):
     rows = spark.createDataFrame(
         [("u", "k", "t"), ("u", "", "t"), ("u", "k2", None), (None, "k3", "t")], "source_url string, source_record_key string, title_normalized string"
