@@ -53,11 +53,11 @@ def detail_authors(relations: DataFrame, authors: DataFrame) -> DataFrame:
     return packed(joined, "initiative_id", entry, [F.col("sort_order"), F.col("author_id")], "authors")
 
 
-def detail_sources(links: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
-    """Nested source links per initiative, best source first, in pages."""
+def detail_sources(links: DataFrame, records: DataFrame, sources: DataFrame, page: int | None = 1000) -> DataFrame:
+    """Nested source links per initiative, best source first, in pages, or all in one row without a ``page``."""
     ranked = ranked_links(links, records, sources)
     entry = F.struct("system", "source_url", "confidence")
-    return packed(ranked, "initiative_id", entry, [F.col("source_priority"), F.col("link_id")], "source_links")
+    return packed(ranked, "initiative_id", entry, [F.col("source_priority"), F.col("link_id")], "source_links", page)
 
 
 def detail_norms(norms: DataFrame) -> DataFrame:
@@ -66,19 +66,19 @@ def detail_norms(norms: DataFrame) -> DataFrame:
 
 
 def timeline(
-    events: DataFrame, event_links: DataFrame, records: DataFrame, sources: DataFrame
+    events: DataFrame, event_links: DataFrame, records: DataFrame, sources: DataFrame, page: int | None = 1000
 ) -> DataFrame:
     """Events with their nested source links, one row per event; ``timeline_order`` is the order to read it in.
 
     ``source_links`` has an event's first links, a page of them, and ``source_link_count`` tells how many there are;
-    ``event_sources`` has all pages.
+    ``event_sources`` has all pages. Without a ``page`` it has all links.
     """
-    nested = event_sources(event_links, records, sources).where("part = 0").drop("part").withColumnRenamed("total", "source_link_count")
+    nested = event_sources(event_links, records, sources, page).where("part = 0").drop("part").withColumnRenamed("total", "source_link_count")
     return events.join(nested, "event_id", "left").withColumn("source_link_count", F.coalesce("source_link_count", F.lit(0).cast("long")))
 
 
-def event_sources(event_links: DataFrame, records: DataFrame, sources: DataFrame, page: int = 1000) -> DataFrame:
-    """(event_id, part, source_links, total): the source links of every event in pages."""
+def event_sources(event_links: DataFrame, records: DataFrame, sources: DataFrame, page: int | None = 1000) -> DataFrame:
+    """(event_id, part, source_links, total): the source links of every event in pages, or all in one row without a ``page``."""
     described = records.select("source_record_id", "source_id", "source_url", "record_type").join(
         sources.select("source_id", "system"), "source_id"
     )

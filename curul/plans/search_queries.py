@@ -300,7 +300,7 @@ def detail(spark: SparkSession, folder: str) -> DataFrame:
 def detail_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Nested source links of every initiative."""
     rows = details.detail_sources(
-        stage(spark, folder, "st_source_links"), stage(spark, folder, "st_source_records"), stage(spark, folder, "st_sources")
+        stage(spark, folder, "st_source_links"), stage(spark, folder, "st_source_records"), stage(spark, folder, "st_sources"), page=None
     )
     shown = F.transform("source_links", lambda s: F.concat_ws(" ", s["system"], s["source_url"]))
     return rows.select(
@@ -326,7 +326,7 @@ def timeline(spark: SparkSession, folder: str) -> DataFrame:
     """Events of all initiatives with their nested sources."""
     event_links = stage(spark, folder, "st_source_links").select(F.col("link_id").alias("event_id"), "source_record_id")
     rows = details.timeline(
-        staged.events(spark, folder), event_links, stage(spark, folder, "st_source_records"), stage(spark, folder, "st_sources")
+        staged.events(spark, folder), event_links, stage(spark, folder, "st_source_records"), stage(spark, folder, "st_sources"), page=None
     )
     shown = F.transform("source_links", lambda s: F.concat_ws(" ", s["system"], s["source_url"]))
     return rows.select(
