@@ -41,7 +41,8 @@ def test_known_and_new_initiatives_load_together(spark, first):
 
 
 def test_addresses_of_inputs_are_not_broadcast(spark):
-    texts = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "url string, text string")
+    # From files, whose size the planner knows.
+    texts = ingest.durable(spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "url string, text string"))
     rows = quarantine.rejected_texts(texts, F.lit(None).cast("string"), texts.where("url = 'a'"))
     assert "BroadcastExchange" not in plan(rows)
     assert {(r.source_url, r.outcome) for r in rows.collect()} == {("b", "skipped"), ("c", "failed")}
